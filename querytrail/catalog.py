@@ -14,7 +14,7 @@ from querytrail import functions as fn
 from querytrail.operators import batches, matching, merge, metrics, rollups, rules
 from querytrail.plans import facts, reports, retention
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, DNS_BATCH
-from querytrail.session import scratch_dir
+from querytrail.session import scratch_dir, ship_package
 from querytrail.sources import codec, lists, messages
 from querytrail.sources.facts import read_facts, write_delta
 from querytrail.streaming import enrich, sink
@@ -32,6 +32,7 @@ def query(func: Query) -> Query:
     @wraps(func)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+        ship_package(spark)
         return func(spark, sf_dir)
     QUERIES[func.__name__] = run
     return run
@@ -889,7 +890,7 @@ def month_rollover(spark, sf):
     root = _stored_facts(spark, sf)
     retention.month_rollover(spark, root, YEAR_2000)
     retention.month_rollover(spark, root, YEAR_2000)
-    return read_facts(spark, root, "client_monthly_stats").drop("month")
+    return read_facts(spark, root, "client_monthly_stats")
 
 
 @query
@@ -972,13 +973,16 @@ def zero_fill_minutes(spark, sf):
         metrics.agg_resolver_minute(fx.prepared_events(spark, sf)))
 
 
+def _stored_batches(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_dir(spark, "nested")
+    _batches(spark, sf).write.parquet(path)
+    return spark.read.schema(DNS_BATCH).parquet(path)
+
+
 @query
 def dedup_batches(spark, sf):
     """Every batch is delivered three times, in one micro-batch and again in a later one."""
-    nested, root = _batches(spark, sf), scratch_dir(spark, "facts")
-    stored = scratch_dir(spark, "nested")
-    nested.write.parquet(stored)
-    nested = spark.read.schema(DNS_BATCH).parquet(stored)
+    nested, root = _stored_batches(spark, sf), scratch_dir(spark, "facts")
     sink.apply_batches(nested.unionByName(nested), 0, root)
     sink.apply_batches(nested, 1, root)
     return read_facts(spark, root, "client_hourly_stats").drop("month")
@@ -987,7 +991,7 @@ def dedup_batches(spark, sf):
 @query
 def late_data(spark, sf):
     """Batches of the second half of the month come first, older ones weeks late."""
-    nested, root = _batches(spark, sf), scratch_dir(spark, "facts")
+    nested, root = _stored_batches(spark, sf), scratch_dir(spark, "facts")
     late = F.col("window_start_timestamp") < 1705276800
     sink.apply_batches(nested.filter(~late), 0, root)
     sink.apply_batches(nested.filter(late), 1, root)

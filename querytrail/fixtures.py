@@ -128,11 +128,11 @@ def domain_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.when(size % 2 == 0, "EXACT").otherwise("DOMAIN_AND_SUBDOMAINS")
                      .alias("match_type"),
                      F.when(size % 7 == 0, "INACTIVE").otherwise("ACTIVE").alias("status")))
-    fixed = spark.createDataFrame([
-        ("example.net", "BLOCK", "EXACT", "ACTIVE"),
-        ("spam-farm.example.org", "BLOCK", "DOMAIN_AND_SUBDOMAINS", "ACTIVE"),
-        ("org", "ALLOW", "DOMAIN_AND_SUBDOMAINS", "INACTIVE"),
-    ], "domain string, action string, match_type string, status string")
+    fixed = spark.sql("""SELECT * FROM VALUES
+        ('example.net', 'BLOCK', 'EXACT', 'ACTIVE'),
+        ('spam-farm.example.org', 'BLOCK', 'DOMAIN_AND_SUBDOMAINS', 'ACTIVE'),
+        ('org', 'ALLOW', 'DOMAIN_AND_SUBDOMAINS', 'INACTIVE')
+        AS t(domain, action, match_type, status)""")
     rows = (hosts.unionByName(fixed)
             .withColumn("category", F.when(F.col("action") == "ALLOW", "WHITELIST")
                         .otherwise("MALWARE"))

@@ -87,6 +87,7 @@ def _broadcast_depths(table: DataFrame, max_rows: int) -> list[int] | None:
     return sorted(row["depths"], reverse=True)
 
 
+_TABLE = ["rule_domain", "rule_block", "rule_subdomains", "listed"]
 _DECISION = ["rule_domain", "rule_block", "listed_parent", "blocked"]
 
 
@@ -96,35 +97,31 @@ def _with_decision(df: DataFrame) -> DataFrame:
 
 def _decide_broadcast(df: DataFrame, domain: str, table: DataFrame,
                       depths: list[int]) -> DataFrame:
-    """One broadcast lookup per label count, most specific first; the rows never move."""
+    """One lookup per label count, most specific first; the rows never move.
+
+    All lookups have the same build side, which is therefore broadcast once.
+    """
     keep = df.columns
     name = normalize_domain(F.col(domain))
     out = df.withColumn("__n", label_count(name)).withColumn("__stop", suffix_count(name))
     for labels in depths:
-        side = (table.filter(F.col("labels") == labels)
-                .select(F.col("rule_domain").alias(f"__k{labels}"),
-                        F.struct("rule_block", "rule_subdomains", "listed")
-                        .alias(f"__v{labels}")))
-        on = ((F.substring_index(name, ".", -labels) == F.col(f"__k{labels}"))
-              & (F.col("__n") - F.lit(labels) < F.col("__stop")))
-        out = out.join(F.broadcast(side), on, "left")
+        side = table.select(*[F.col(c).alias(f"__{c}{labels}") for c in _TABLE])
+        visited = (F.col("__n") >= labels) & (F.col("__n") - F.lit(labels) < F.col("__stop"))
+        key = F.when(visited, F.substring_index(name, ".", -labels))
+        out = out.join(F.broadcast(side), key == F.col(f"__rule_domain{labels}"), "left")
 
     def applies(labels: int) -> Column:
-        value = F.col(f"__v{labels}")
-        return value["rule_block"].isNotNull() & (
-            (F.col("__n") == labels) | value["rule_subdomains"])
-
-    none = F.lit(None)
-    out = (out
-           .withColumn("rule_domain", F.coalesce(
-               *[F.when(applies(d), F.col(f"__k{d}")) for d in depths], none.cast("string")))
-           .withColumn("rule_block", F.coalesce(
-               *[F.when(applies(d), F.col(f"__v{d}")["rule_block"]) for d in depths],
-               none.cast("boolean")))
-           .withColumn("listed_parent", reduce(
-               lambda a, b: a | b,
-               [F.coalesce(F.col(f"__v{d}")["listed"], F.lit(False)) for d in depths],
-               F.lit(False))))
+        return F.col(f"__rule_block{labels}").isNotNull() & (
+            (F.col("__n") == labels) | F.col(f"__rule_subdomains{labels}"))
+
+    def deciding(column: str, kind: str) -> Column:
+        return F.coalesce(*[F.when(applies(d), F.col(f"__{column}{d}")) for d in depths],
+                          F.lit(None).cast(kind))
+
+    listed = [F.coalesce(F.col(f"__listed{d}"), F.lit(False)) for d in depths]
+    out = (out.withColumn("rule_domain", deciding("rule_domain", "string"))
+           .withColumn("rule_block", deciding("rule_block", "boolean"))
+           .withColumn("listed_parent", reduce(Column.__or__, listed, F.lit(False))))
     return _with_decision(out).select(*keep, *_DECISION)
 
 

@@ -550,7 +550,7 @@ SELECT total_queries, blocked_queries, {_pct('blocked_queries', 'total_queries')
 strftime(hour_timestamp, '%b %-d %-I%p') AS time, total_queries, blocked_queries FROM eh
 WHERE {_WEEK} ORDER BY hour_timestamp""",
     "traffic_daily": f"""WITH {_PE}, {_EH} SELECT CAST(CAST(hour_timestamp AS DATE) AS VARCHAR) AS date,
-strftime(CAST(hour_timestamp AS DATE), '%b %d') AS time, {_S2} FROM eh WHERE {_MONTH30}
+strftime(min(hour_timestamp), '%b %d') AS time, {_S2} FROM eh WHERE {_MONTH30}
 GROUP BY 1 ORDER BY 1""",
     "threat_counters": f"""WITH {_FB0} SELECT """ + ", ".join(
         f"CAST(coalesce(sum(blocked_queries) FILTER (category = '{c}'), 0) AS BIGINT)"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,27 @@ def build_session(app_name: str = "querytrail", master: str | None = None,
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **extra}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, wherever the driver was started.
+
+    The message codec runs in them. Once per application; ``--py-files`` does as well.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        archive = shutil.make_archive(
+            os.path.join(tempfile.mkdtemp(prefix="querytrail-"), "querytrail"), "zip", root,
+            "querytrail")
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
 
 
 _local_scratch: str | None = None

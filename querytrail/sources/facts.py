@@ -3,11 +3,12 @@
 Facts are additive, so an arriving micro-batch is written as rows of its own under
 ``<table>/month=yyyy-MM/epoch=N`` and rows of one key are added up on reading. A write costs
 what the delta costs, whatever the size of the table, and writing an epoch again replaces it.
+Day and month tables get one epoch per rollover, which is about a month, and no ``month`` level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,6 +21,10 @@ _PAIR = ["total_queries", "blocked_queries"]
 _VALUES = {"client_category_hourly": _PAIR, "client_top_domains_hourly": _PAIR}
 
 
+def partitions(table: str) -> list[str]:
+    return ["month", "epoch"] if FACT_KEYS[table][0] == "hour_timestamp" else ["epoch"]
+
+
 def stored_schema(table: str) -> T.StructType:
     """Columns of a table on disk, partition columns included."""
     fields = [T.StructField(k, _KEY_TYPES.get(k, T.StringType())) for k in FACT_KEYS[table]]
@@ -31,13 +36,9 @@ def stored_schema(table: str) -> T.StructType:
         fields += [T.StructField("domain_rank", T.IntegerType()),
                    T.StructField("rank_at", T.TimestampType()),
                    T.StructField("rank_batch", T.StringType())]
-    return T.StructType([*fields, T.StructField("month", T.StringType()),
-                         T.StructField("epoch", T.LongType())])
-
-
-def _month(table: str) -> Column:
-    key = FACT_KEYS[table][0]
-    return F.col(key) if key == "year_month" else F.date_format(F.col(key), "yyyy-MM")
+    if "month" in partitions(table):
+        fields.append(T.StructField("month", T.StringType()))
+    return T.StructType([*fields, T.StructField("epoch", T.LongType())])
 
 
 def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
@@ -46,13 +47,16 @@ def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
     Rebalancing by month keeps the file count down where months are small and splits a large
     one over tasks; sorting by the natural key lets row groups be skipped by hour and client.
     """
-    stored = [c for c in stored_schema(table).names if c not in ("month", "epoch")]
-    (rows.select(*stored)
-     .withColumn("month", _month(table)).withColumn("epoch", F.lit(epoch).cast("long"))
-     .hint("rebalance", "month")
-     .sortWithinPartitions("month", *FACT_KEYS[table])
+    levels = partitions(table)
+    out = rows.select(*[c for c in stored_schema(table).names if c not in levels])
+    if "month" in levels:
+        out = out.withColumn("month", F.date_format("hour_timestamp", "yyyy-MM"))
+    spread = "month" if "month" in levels else FACT_KEYS[table][-1]
+    (out.withColumn("epoch", F.lit(epoch).cast("long"))
+     .hint("rebalance", spread)
+     .sortWithinPartitions(*levels, *FACT_KEYS[table])
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("month", "epoch").parquet(f"{root}/{table}"))
+     .partitionBy(*levels).parquet(f"{root}/{table}"))
 
 
 def read_deltas(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -69,7 +73,8 @@ def read_facts(spark: SparkSession, root: str, table: str) -> DataFrame:
     ``month`` stays a grouping column, so filters on it and on the keys reach the scan.
     """
     keys = FACT_KEYS[table]
-    merged = merge_rows(read_deltas(spark, root, table).drop("epoch"), [*keys, "month"])
+    by = [*keys, "month"] if "month" in partitions(table) else keys
+    merged = merge_rows(read_deltas(spark, root, table).drop("epoch"), by)
     if table.startswith("resolver"):
         total = F.col("total_queries")
         merged = merged.withColumn(

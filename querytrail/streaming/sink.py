@@ -29,20 +29,20 @@ def is_applied(spark: SparkSession, root: str, epoch: int) -> bool:
 def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
     """Batches whose id is not in the ledger, each once.
 
-    Only ledger rows of the days present are read; a redelivered batch has its old day.
+    Looks at the batches twice, so they should be persisted. Only ledger rows of the days
+    present are read: a redelivered batch has its old day.
     """
     spark = batches.sparkSession
-    once = batches.dropDuplicates(["batch_id"])
+    facts = batches.agg(F.count("batch_id").alias("rows"),
+                        F.count_distinct("batch_id").alias("ids"),
+                        F.min(_batch_day()).alias("lo"), F.max(_batch_day()).alias("hi")).first()
+    once = batches if facts["rows"] == facts["ids"] else batches.dropDuplicates(["batch_id"])
     path = f"{root}/{_LEDGER}"
-    if not exists(spark, path):
-        return once
-    days = batches.agg(F.min(_batch_day()).alias("lo"), F.max(_batch_day()).alias("hi")).first()
-    if days["lo"] is None:
+    if facts["rows"] == 0 or not exists(spark, path):
         return once
+    days = [F.lit(str(facts[d])).cast("date") for d in ("lo", "hi")]
     seen = (spark.read.schema("batch_id string, batch_day date, epoch long").parquet(path)
-            .filter(F.col("batch_day").between(F.lit(str(days["lo"])).cast("date"),
-                                               F.lit(str(days["hi"])).cast("date")))
-            .select("batch_id"))
+            .filter(F.col("batch_day").between(*days)).select("batch_id"))
     return once.join(seen, "batch_id", "left_anti")
 
 
@@ -66,6 +66,14 @@ def hourly_deltas(batches: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def _apply(batches: DataFrame, epoch: int, root: str) -> None:
+    fresh = unseen_batches(batches, root)
+    for table, delta in hourly_deltas(fresh).items():
+        write_delta(delta, root, table, epoch)
+    (fresh.select("batch_id", _batch_day().alias("batch_day"))
+     .write.mode("overwrite").parquet(f"{root}/{_LEDGER}/epoch={epoch}"))
+
+
 def apply_batches(batches: DataFrame, epoch: int, root: str) -> None:
     """Merge one micro-batch of decoded batches.
 
@@ -76,14 +84,11 @@ def apply_batches(batches: DataFrame, epoch: int, root: str) -> None:
     spark = batches.sparkSession
     if is_applied(spark, root, epoch):
         return
-    fresh = unseen_batches(batches, root).persist(StorageLevel.MEMORY_AND_DISK)
+    held = batches.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        for table, delta in hourly_deltas(fresh).items():
-            write_delta(delta, root, table, epoch)
-        (fresh.select("batch_id", _batch_day().alias("batch_day"))
-         .coalesce(1).write.mode("overwrite").parquet(f"{root}/{_LEDGER}/epoch={epoch}"))
+        _apply(held, epoch, root)
     finally:
-        fresh.unpersist()
+        held.unpersist()
 
 
 def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
@@ -98,7 +103,7 @@ def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
         try:
             (bad_batches(decoded).write.mode("overwrite")
              .parquet(f"{root}/{_DEAD}/epoch={epoch}"))
-            apply_batches(good_batches(decoded), epoch, root)
+            _apply(good_batches(decoded), epoch, root)
         finally:
             decoded.unpersist()
 
