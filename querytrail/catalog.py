@@ -614,7 +614,7 @@ def upsert_rules(spark, sf):
 
 @query
 def delete_rules(spark, sf):
-    gone = _pages(spark, sf).filter(F.col("page_id") % 3 == 0).select(
+    gone = _domains(spark, sf).filter(F.length("domain") % 5 == 0).select(
         F.concat(F.lit(" "), F.upper("domain")).alias("domain"))
     return rules.delete_by_domain(fx.domain_rules(spark, sf), gone).select(
         "domain", "action", "status")
@@ -637,7 +637,7 @@ def upsert_blocked_entries(spark, sf):
 
 @query
 def delete_blocked_entries(spark, sf):
-    gone = _pages(spark, sf).filter(F.col("page_id") % 3 == 0).select("domain")
+    gone = _domains(spark, sf).filter(F.length("domain") % 3 == 0)
     return rules.delete_by_domain(_entries(spark, sf), gone)
 
 

@@ -470,8 +470,8 @@ SELECT domain, coalesce(n.action, r.action) AS action,
   CASE WHEN n.seq IS NULL THEN TIMESTAMP '2024-01-01' ELSE TIMESTAMP '2024-01-31' END
     AS updated_at
 FROM rules r FULL JOIN new n USING (domain)""",
-    "delete_rules": f"""WITH {_RULES} SELECT domain, action, status FROM rules
-WHERE domain NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 3 = 0)""",
+    "delete_rules": f"""WITH {_RULES}, {_DOMAINS} SELECT domain, action, status FROM rules
+WHERE domain NOT IN (SELECT domain FROM domains WHERE length(domain) % 5 = 0)""",
     "upsert_blocked_entries": f"""WITH {_DOMAINS}, {_ENTRIES},
 x AS (SELECT page_id, lower(trim({_MESSY})) AS d
       FROM (SELECT page_id, {_HOST} AS domain FROM pages)),
@@ -480,7 +480,7 @@ rows AS (SELECT -1 AS o, domain, 'OLD' AS category FROM entries UNION ALL
          CASE WHEN page_id % 2 = 0 THEN 'MALWARE' ELSE 'PHISHING' END FROM x)
 SELECT domain, arg_max(category, o) AS category FROM rows GROUP BY domain""",
     "delete_blocked_entries": f"""WITH {_DOMAINS}, {_ENTRIES} SELECT domain, 'OLD' AS category
-FROM entries WHERE domain NOT IN (SELECT {_HOST} FROM pages WHERE page_id % 3 = 0)""",
+FROM entries WHERE length(domain) % 3 <> 0""",
     "upsert_overrides": f"""WITH o AS (SELECT page_id AS id, {_HOST} AS d,
   page_id % 2 = 0 AND page_id <> 0 AS c FROM pages)
 SELECT id, CASE WHEN c AND id % 3 <> 0 THEN 'new.' || d ELSE d END AS domain,
