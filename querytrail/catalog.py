@@ -673,6 +673,16 @@ def lookup_by_key(spark, sf):
     return rollups.rows_of_client(fx.domain_hourly(spark, sf), "c7")
 
 
+@query
+def lookup_by_key_hourly(spark, sf):
+    return rollups.rows_of_client(fx.client_hourly(spark, sf), "c7")
+
+
+@query
+def lookup_by_key_category(spark, sf):
+    return rollups.rows_of_client(fx.category_hourly(spark, sf), "c7")
+
+
 @query
 def rules_by_status(spark, sf):
     return rules.rules_by_status(fx.domain_rules(spark, sf)).select(

@@ -6,10 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def _drop_last_dot(name: Column) -> Column:
+    # Several times cheaper than a regular expression.
+    return (F.when(F.endswith(name, F.lit(".")),
+                   F.substring(name, F.lit(1), F.length(name) - 1)).otherwise(name))
+
+
 def normalize_domain(domain: Column, trim: bool = False) -> Column:
     """Lower-case and drop one trailing dot; ``trim`` also strips blanks at both ends."""
     cleaned = F.lower(F.trim(domain) if trim else domain)
-    return F.regexp_replace(cleaned, r"\.$", "")
+    return _drop_last_dot(cleaned)
 
 
 def strip_url_to_domain(text: Column) -> Column:
@@ -22,13 +28,17 @@ def label_count(domain: Column) -> Column:
     return F.size(F.split(domain, r"\."))
 
 
+def has_empty_label(domain: Column) -> Column:
+    return (domain.contains("..") | domain.startswith(".") | domain.endswith(".")
+            | (domain == ""))
+
+
 def suffix_count(domain: Column) -> Column:
     """How many suffixes a lookup visits: it ends at the first empty label."""
-    labels = F.split(domain, r"\.")
-    n, first_empty = F.size(labels), F.array_position(labels, F.lit("")).cast("int")
-    return (F.when(first_empty == 0, n)
-            .when(first_empty == n, n - 1)
-            .otherwise(first_empty))
+    n = label_count(domain)
+    first_empty = F.array_position(F.split(domain, r"\."), F.lit("")).cast("int")
+    return (F.when(~has_empty_label(domain), n)
+            .when(first_empty == n, n - 1).otherwise(first_empty))
 
 
 def domain_suffixes(domain: Column) -> Column:

@@ -35,8 +35,8 @@ def assemble_batches(cube: DataFrame, parts: int = 1, k: int = TOP_K) -> DataFra
 
     The cube is read three times: pass a stored one, not a query over raw events.
     """
-    # One shuffle by client and minute serves all three groupings, the ranking and the joins.
-    cube = cube.repartition(*_CLIENT)
+    # Every branch shrinks before it is shuffled by client and minute (partial sums, group
+    # limit), so a client with very many domains in one minute is no large group anywhere.
     clients = cube.groupBy(*_CLIENT).agg(*sum_counters(COUNTERS_LATENCY))
     categories = (cube.filter(is_present(F.col("category")))
                   .groupBy(*_CLIENT, "category")

@@ -12,8 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytrail.functions.domains import (domain_suffixes, label_count, normalize_domain,
-                                          suffix_count)
+from querytrail.functions.domains import (domain_suffixes, has_empty_label, label_count,
+                                          normalize_domain, suffix_count)
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_CHARS = 64 * 1024 * 1024
@@ -101,12 +101,14 @@ def _decide_broadcast(df: DataFrame, domain: str, table: DataFrame,
 
     All lookups have the same build side, which is therefore broadcast once.
     """
-    keep = df.columns
-    name = normalize_domain(F.col(domain))
-    out = df.withColumn("__n", label_count(name)).withColumn("__stop", suffix_count(name))
+    keep, name = df.columns, F.col("__name")
+    out = (df.withColumn("__name", normalize_domain(F.col(domain)))
+           .withColumn("__n", label_count(name))
+           .withColumn("__stop", F.when(has_empty_label(name), suffix_count(name))))
     for labels in depths:
         side = table.select(*[F.col(c).alias(f"__{c}{labels}") for c in _TABLE])
-        visited = (F.col("__n") >= labels) & (F.col("__n") - F.lit(labels) < F.col("__stop"))
+        visited = (F.col("__n") >= labels) & (
+            F.col("__stop").isNull() | (F.col("__n") - F.lit(labels) < F.col("__stop")))
         key = F.when(visited, F.substring_index(name, ".", -labels))
         out = out.join(F.broadcast(side), key == F.col(f"__rule_domain{labels}"), "left")
 

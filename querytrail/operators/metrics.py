@@ -141,8 +141,9 @@ def hourly_client_category(minutes: DataFrame) -> DataFrame:
 
 
 def last_rank(order: list[str]) -> Column:
-    """The rank seen last in the given order."""
-    return F.max_by("domain_rank", F.struct(*order)).alias("domain_rank")
+    """The rank seen last in the given order. A single column keeps the hash aggregate."""
+    by = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    return F.max_by("domain_rank", by).alias("domain_rank")
 
 
 def hourly_client_domain(top_minutes: DataFrame, order: list[str] | None = None) -> DataFrame:

@@ -493,6 +493,10 @@ SELECT id, CASE WHEN c AND id % 3 <> 0 THEN 'new.' || d ELSE d END AS domain,
 CAST(NULL AS VARCHAR) AS description FROM pages WHERE page_id % 4 <> 1""",
     "lookup_by_key": f"""WITH {_FB0} SELECT hour_timestamp, client_hash, domain, {_S2} FROM fb
 WHERE client_hash = 'c7' GROUP BY ALL""",
+    "lookup_by_key_hourly": f"""WITH {_FB0} SELECT hour_timestamp, client_hash, {_S7} FROM fb
+WHERE client_hash = 'c7' GROUP BY ALL""",
+    "lookup_by_key_category": f"""WITH {_FB0} SELECT hour_timestamp, client_hash, category, {_S2}
+FROM fb WHERE client_hash = 'c7' GROUP BY ALL""",
     "rules_by_status": f"WITH {_RULES} SELECT domain, action, match_type FROM rules WHERE status = 'ACTIVE'",
     "publish_rule_snapshot":
         f"WITH {_RULES}, {_DOMAINS}, {_ENTRIES}, {_listed(entries=True)} SELECT domain FROM bset",

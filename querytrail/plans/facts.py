@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from querytrail.functions.events import is_present
 from querytrail.operators import metrics
-from querytrail.schemas import COUNTERS_LATENCY
 
 
 def write_event_cube(events: DataFrame, path: str) -> DataFrame:
@@ -33,10 +32,3 @@ def hourly_facts(cube: DataFrame, k: int = metrics.TOP_K) -> dict[str, DataFrame
         "client_top_domains_hourly": metrics.hourly_client_domain(
             tops, ["minute_timestamp", "resolver_id"]),
     }
-
-
-def minute_tables(cube: DataFrame) -> dict[str, DataFrame]:
-    """Resolver and client minutes summed from an event cube."""
-    sums = metrics.sum_counters(COUNTERS_LATENCY)
-    return {"resolver": cube.groupBy("minute_timestamp").agg(*sums),
-            "client": cube.groupBy("minute_timestamp", "client_hash").agg(*sums)}

@@ -21,6 +21,10 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Window state beyond the heap, with changes written per micro-batch instead of snapshots.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
