@@ -11,7 +11,8 @@ from querytrail.operators import rollups
 from querytrail.operators.metrics import sum_counters
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY
 from querytrail.sources import paths
-from querytrail.sources.facts import read_deltas, read_facts, write_delta
+from querytrail.sources.facts import (last_committed, read_deltas, read_facts,
+                                      write_delta)
 
 _LOG = "rollover_log"
 HOURLY_TABLES = ["resolver_hourly_stats", "client_hourly_stats", "client_category_hourly",
@@ -53,13 +54,6 @@ def _drop_months(spark: SparkSession, root: str, month: str, last_epoch: int) ->
                         paths.delete(spark, f"{base}/{name}/{epoch}")
 
 
-def _last_epoch(spark: SparkSession, root: str) -> int:
-    epochs = [int(n.split("=")[1]) for n in paths.subfolders(spark, f"{root}/batch_ledger")
-              if n.startswith("epoch=")
-              and paths.is_complete(spark, f"{root}/batch_ledger/{n}")]
-    return max(epochs, default=-1)
-
-
 def month_rollover(spark: SparkSession, root: str, as_of: datetime) -> None:
     """Roll up all hours before the month of ``as_of`` and drop them; safe to run again.
 
@@ -72,10 +66,11 @@ def month_rollover(spark: SparkSession, root: str, as_of: datetime) -> None:
     month, run = cutoff.strftime("%Y-%m"), cutoff.year * 100 + cutoff.month
     log = f"{root}/{_LOG}/run={run}"
     if not paths.is_complete(spark, log):
-        last = _last_epoch(spark, root)
+        last = last_committed(spark, root)
+        last = -1 if last is None else last
 
         def pinned(table: str) -> DataFrame:
-            # Whole months by partition, so that nothing of the current month is listed.
+            # Whole months by partition, so that nothing of the current month is read.
             return read_deltas(spark, root, table).filter(
                 (F.col("month") < month) & (F.col("epoch") <= last))
 

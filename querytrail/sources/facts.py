@@ -14,8 +14,9 @@ from pyspark.sql import types as T
 
 from querytrail.operators.merge import merge_rows
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, FACT_KEYS
-from querytrail.sources.paths import exists
+from querytrail.sources.paths import exists, is_complete, subfolders
 
+LEDGER = "batch_ledger"
 _KEY_TYPES = {"hour_timestamp": T.TimestampType(), "date_timestamp": T.DateType()}
 _PAIR = ["total_queries", "blocked_queries"]
 _VALUES = {"client_category_hourly": _PAIR, "client_top_domains_hourly": _PAIR}
@@ -59,12 +60,27 @@ def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
      .partitionBy(*levels).parquet(f"{root}/{table}"))
 
 
+def last_committed(spark: SparkSession, root: str) -> int | None:
+    """The newest epoch whose ledger entry is complete; all before it are, too."""
+    epochs = sorted((int(n.split("=")[1]) for n in subfolders(spark, f"{root}/{LEDGER}")
+                     if n.startswith("epoch=")), reverse=True)
+    return next((e for e in epochs if is_complete(spark, f"{root}/{LEDGER}/epoch={e}")), None)
+
+
 def read_deltas(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Stored rows as they are, several per key where several epochs touched it."""
+    """Stored rows as they are, several per key where several epochs touched it.
+
+    Of hourly tables only committed epochs are shown, so all four tables agree while a
+    micro-batch is being merged. Tables filled without a ledger are shown whole.
+    """
     schema, path = stored_schema(table), f"{root}/{table}"
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path)
+    rows = spark.read.schema(schema).parquet(path)
+    if "month" in partitions(table) and exists(spark, f"{root}/{LEDGER}"):
+        last = last_committed(spark, root)
+        rows = rows.filter(F.col("epoch") <= F.lit(-1 if last is None else last))
+    return rows
 
 
 def read_facts(spark: SparkSession, root: str, table: str) -> DataFrame:

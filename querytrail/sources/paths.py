@@ -27,6 +27,11 @@ def subfolders(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(jpath) if s.isDirectory())
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, jpath = _fs(spark, path)
+    fs.mkdirs(jpath)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     fs, jpath = _fs(spark, path)
     fs.delete(jpath, True)

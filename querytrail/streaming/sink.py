@@ -11,10 +11,9 @@ from querytrail.operators import metrics
 from querytrail.operators.merge import merge_aggs
 from querytrail.schemas import COUNTERS_LATENCY, FACT_KEYS
 from querytrail.sources.codec import bad_batches, decode_batches, good_batches
-from querytrail.sources.facts import write_delta
-from querytrail.sources.paths import exists, is_complete
+from querytrail.sources.facts import LEDGER, write_delta
+from querytrail.sources.paths import exists, is_complete, make_folder
 
-_LEDGER = "batch_ledger"
 _DEAD = "dead_letters"
 
 
@@ -23,7 +22,7 @@ def _batch_day():
 
 
 def is_applied(spark: SparkSession, root: str, epoch: int) -> bool:
-    return is_complete(spark, f"{root}/{_LEDGER}/epoch={epoch}")
+    return is_complete(spark, f"{root}/{LEDGER}/epoch={epoch}")
 
 
 def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
@@ -37,7 +36,7 @@ def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
                         F.count_distinct("batch_id").alias("ids"),
                         F.min(_batch_day()).alias("lo"), F.max(_batch_day()).alias("hi")).first()
     once = batches if facts["rows"] == facts["ids"] else batches.dropDuplicates(["batch_id"])
-    path = f"{root}/{_LEDGER}"
+    path = f"{root}/{LEDGER}"
     if facts["rows"] == 0 or not exists(spark, path):
         return once
     days = [F.lit(str(facts[d])).cast("date") for d in ("lo", "hi")]
@@ -67,11 +66,13 @@ def hourly_deltas(batches: DataFrame) -> dict[str, DataFrame]:
 
 
 def _apply(batches: DataFrame, epoch: int, root: str) -> None:
+    # From here on readers trust the ledger, so a first epoch is not seen half-written.
+    make_folder(batches.sparkSession, f"{root}/{LEDGER}")
     fresh = unseen_batches(batches, root)
     for table, delta in hourly_deltas(fresh).items():
         write_delta(delta, root, table, epoch)
     (fresh.select("batch_id", _batch_day().alias("batch_day"))
-     .write.mode("overwrite").parquet(f"{root}/{_LEDGER}/epoch={epoch}"))
+     .write.mode("overwrite").parquet(f"{root}/{LEDGER}/epoch={epoch}"))
 
 
 def apply_batches(batches: DataFrame, epoch: int, root: str) -> None:
