@@ -213,7 +213,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     shared = classes.select("node", F.explode("bands").alias("band"))
     met = (shared.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"))
            .where("n > 1"))
-    members = store(shared.join(met, "band").select("band", "node", "least"), "jaccard-bands")
+    # The key is turned over so that the join deals both sides anew: Spark splits a skewed
+    # partition only where it comes straight from a shuffle, not from an aggregation.
+    turned = F.bitwise_not(F.col("band"))
+    met = met.select(turned.alias("turned"), "least")
+    members = store(shared.withColumn("turned", turned).join(met, "turned")
+                    .select("band", "node", "least"), "jaccard-bands")
     hubs = members.groupBy("node").agg(F.min("least").alias("hub"))
     in_band = members.join(hubs, "node").select("band", "hub").distinct()
     other = in_band.select("band", F.col("hub").alias("hub2"))
