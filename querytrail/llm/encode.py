@@ -8,25 +8,26 @@ emptied when full, which costs time only.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 import regex
 
-_INNER_SPACE = re.compile(r"\s \s|\s \Z")
+_INNER_SPACE = re.compile(r" (?<=\s )(?=\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 1_500_000, 64
+#: Word parts encoded in one call's text.
+JOINED = 64
 
 
 def pieces(text: str) -> list[str]:
-    """Parts that begin at a blank between words; joined they are the text.
-
-    Longer runs of blanks stay inside a part, since the pattern looks at them as a whole.
-    """
+    """Parts that begin at a blank between words, without that blank: joined by it they are the
+    text. Longer runs of blanks stay inside a part, since the pattern looks at them as a whole."""
     if _INNER_SPACE.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[" " + x for x in rest]]
+        first, *rest = _CUT.split(text)
+        return [first, *[p[1:] for p in rest]]
+    return text.split(" ")
 
 
 class Encoder:
@@ -39,35 +40,82 @@ class Encoder:
         self.special = () if ordinary else tuple(
             t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         self.size = self.tokenizer.get_vocab_size()
+        #: Ids of parts of the pattern, and of pieces behind a blank and at a text's begin.
         self.known: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
-        """Ids of pieces through the pattern's own parts, the distinct ones encoded once."""
-        plain = [p for p in new if not any(s in p for s in self.special)]
-        parts = {p: self.pattern.findall(p) for p in plain}
-        parts.update((p, [p]) for p in new if p not in parts)
-        fresh = {q for ps in parts.values() for q in ps} - self.known.keys()
-        fresh = list(fresh)
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        ids = {q: np.array(e.ids, "<u4").tobytes() for q, e in zip(fresh, coded, strict=True)}
-        get = lambda q: ids[q] if q in ids else self.known[q]
-        out = {p: b"".join(map(get, ps)) for p, ps in parts.items()}
-        out.update((q, v) for q, v in ids.items() if q not in out)
+        self.behind: dict[str, bytes] = {}
+        self.ahead: dict[str, bytes] = {}
+
+    def _encode_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of the pattern's parts. Parts of a blank and letters are encoded many in one text,
+        which the pattern cuts where they meet; the others one by one."""
+        runs = [p for p in parts if p[0] == " " and p[1:].isalpha()]
+        single = [p for p in parts if not (p[0] == " " and p[1:].isalpha())]
+        chunks = [runs[i:i + JOINED] for i in range(0, len(runs), JOINED)]
+        coded = self.tokenizer.encode_batch(["".join(c) for c in chunks],
+                                            add_special_tokens=False)
+        out: dict[str, bytes] = {}
+        for chunk, e in zip(chunks, coded, strict=True):
+            ends = np.bincount(e.word_ids, minlength=len(chunk)).cumsum() * 4
+            if len(ends) != len(chunk):  # a letter of one side only: Unicode versions differ
+                single += chunk
+                continue
+            raw, ends = array("I", e.ids).tobytes(), ends.tolist()
+            out.update(zip(chunk, (raw[i:j] for i, j in zip([0, *ends], ends, strict=False)),
+                           strict=True))
+        coded = self.tokenizer.encode_batch_fast(single, add_special_tokens=False)
+        out.update((p, array("I", e.ids).tobytes()) for p, e in zip(single, coded, strict=True))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, new: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces through the pattern's own parts, the distinct ones encoded once."""
+        whole = {p for p in new if any(s in p for s in self.special)} if self.special else set()
+        plain = {p for p in new if p[1:].isalpha() and p[0] == " "}
+        parts = {p: self.pattern.findall(p) for p in new - whole - plain}
+        known = self.known
+        own = set().union(*parts.values()) - known.keys()
+        ids = self._encode_parts(list(own | whole | plain))
+        if len(known) > REMEMBERED:
+            known.clear()
+        get = lambda q: ids[q] if q in ids else known[q]
+        joined = {p: b"".join(map(get, ps)) for p, ps in parts.items()}
+        known.update((q, ids[q]) for q in own if len(q) <= LONGEST)
+        return ids | joined
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        cut = [pieces(t) if t else [] for t in texts]
-        new = set().union(*cut) - self.known.keys() if cut else set()
-        found = self._learn(list(new)) if new else {}
-        self.known.update((k, v) for k, v in found.items() if len(k) <= LONGEST)
-        if any(len(k) > LONGEST for k in new):
-            get = lambda p: found[p] if p in found else self.known[p]
-        else:
-            get = self.known.__getitem__
-        return [b"".join(map(get, ps)) for ps in cut]
+        behind, ahead = self.behind, self.ahead
+        if len(behind) + len(ahead) > REMEMBERED:
+            behind.clear()
+            ahead.clear()
+        found, new = [], set()
+        for t in texts:
+            if not t:
+                found.append(None)
+                continue
+            first, *rest = pieces(t)
+            ids = list(map(behind.get, rest))
+            gaps = [i for i, x in enumerate(ids) if x is None] if None in ids else ()
+            new.update([" " + rest[i] for i in gaps])
+            if first and first not in ahead:
+                new.add(first)
+            found.append((first, rest, ids, gaps))
+        got = self._learn(new) if new else {}
+        out = []
+        for x in found:
+            if x is None:
+                out.append(b"")
+                continue
+            first, rest, ids, gaps = x
+            for i in gaps:
+                word = rest[i]
+                ids[i] = v = got[" " + word]
+                if len(word) < LONGEST:
+                    behind[word] = v
+            head = b"" if not first else ahead[first] if first in ahead else got[first]
+            if len(first) < LONGEST:
+                ahead[first] = head
+            out.append(head + b"".join(ids))
+        return out
 
 
 @lru_cache(maxsize=2)
