@@ -37,7 +37,7 @@ BANDS, ROWS = 24, 4
 #: MinHash values beside those of the bands, compared so many at a time.
 EXTRA, STEP = 64, 16
 #: A block of classes in one task: so many classes, or about so many characters.
-BLOCK_ROWS, BLOCK_CHARS = 256, 4_000_000
+BLOCK_ROWS, BLOCK_CHARS = 512, 4_000_000
 
 
 def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
@@ -224,10 +224,10 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     other = in_band.select("band", F.col("hub").alias("hub2"))
     pairs = (in_band.join(other, "band").where(F.col("hub") <= F.col("hub2"))
              .select("hub", "hub2").distinct())
-    texts = (named.join(classes.select("copy", F.col("node").alias("doc_id"), "copies"),
-                        ["copy", "doc_id"])
-             .dropDuplicates(["copy", "doc_id"])
-             .join(hubs.withColumnRenamed("node", "doc_id"), "doc_id")
+    # Only texts that met another in a band are read again, and they are dealt out once.
+    met_classes = classes.select("copy", F.col("node").alias("doc_id"), "copies").join(
+        hubs.withColumnRenamed("node", "doc_id"), "doc_id")
+    texts = (named.join(met_classes, ["copy", "doc_id"]).dropDuplicates(["copy", "doc_id"])
              .select(F.col("doc_id").alias("node"), "hub", "copies", "text"))
     texts = store(texts, "jaccard-texts")
     blocks = texts.groupBy("hub").agg(F.greatest(
