@@ -186,5 +186,6 @@ def read_documents(files: DataFrame) -> DataFrame:
                             names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = running_start(files, "part", "n_ids", "base").select("file", "base")
-    return placed.repartition(F.col("file")).mapInArrow(
+    # As many partitions as files: the rows are too small for Spark to see the work in them.
+    return placed.repartition(max(1, files.count()), "file").mapInArrow(
         read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -16,7 +16,7 @@ import regex
 
 _INNER_SPACE = re.compile(r" (?<=\s )(?=\s|\Z)")
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-REMEMBERED, LONGEST = 1_500_000, 64
+REMEMBERED, LONGEST = 900_000, 64
 #: Word parts encoded in one call's text.
 JOINED = 64
 

@@ -103,9 +103,11 @@ def scan_blocks(files: DataFrame, end_id: int, block_bytes: int = BLOCK_BYTES) -
     schema = pa.schema([("file", pa.string()), ("block", pa.int64()), ("n_ids", pa.int64()),
                         ("n_ends", pa.int64()), ("head", pa.int64()), ("tail", pa.int64()),
                         ("inner", pa.list_(pa.int64()))])
-    cut = (files.select("file", "id_bytes").repartition("file")
+    # As many partitions as files: the rows are too small for Spark to see the work in them.
+    n = max(1, files.count())
+    cut = (files.select("file", "id_bytes").repartition(n, "file")
            .mapInArrow(sizes, "file string, id_bytes int, block long"))
-    return cut.repartition("file", "block").mapInArrow(
+    return cut.repartition(n, "file", "block").mapInArrow(
         scan, "file string, block long, n_ids long, n_ends long, head long, tail long, "
               "inner array<long>")
 
