@@ -16,7 +16,7 @@ from querytrail.plans import facts, reports, retention
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, DNS_BATCH
 from querytrail.session import scratch_dir, ship_package
 from querytrail.sources import codec, lists, messages
-from querytrail.sources.facts import read_facts, write_delta
+from querytrail.sources.facts import commit, read_facts, write_delta
 from querytrail.streaming import enrich, sink
 from querytrail.streaming import metrics as stream
 
@@ -62,15 +62,14 @@ def _stored_cube(spark: SparkSession, sf: str) -> DataFrame:
     return facts.write_event_cube(fx.prepared_events(spark, sf), scratch_dir(spark, "cube"))
 
 
-def _batches(spark: SparkSession, sf: str, parts: int | None = None) -> DataFrame:
-    cube = _stored_cube(spark, sf)
-    return batches.assemble_batches(cube, parts or batches.parts_for(cube))
+def _batches(spark: SparkSession, sf: str) -> DataFrame:
+    return batches.assemble_batches(_stored_cube(spark, sf))
 
 
-def _landed(spark: SparkSession, sf: str, parts: int | None = None) -> str:
+def _landed(spark: SparkSession, sf: str) -> str:
     """Encoded batches written as files."""
     path = scratch_dir(spark, "landed")
-    messages.write_batch_files(codec.encode_batches(_batches(spark, sf, parts)), path)
+    messages.write_batch_files(codec.encode_batches(_batches(spark, sf)), path)
     return path
 
 
@@ -94,7 +93,7 @@ def encode_batch(spark, sf):
 @query
 def decode_batch(spark, sf):
     """Domain entries of decoded batches that were sent in several parts."""
-    decoded = codec.decode_batches(messages.read_batch_files(spark, _landed(spark, sf, 4)))
+    decoded = codec.decode_batches(messages.read_batch_files(spark, _landed(spark, sf)))
     return batches.flatten_domains(codec.good_batches(decoded)).drop("batch_id")
 
 
@@ -112,9 +111,9 @@ def quarantine_bad_batches(spark, sf):
             .agg(F.count(F.lit(1)).alias("batches")))
 
 
-def _merged_root(spark: SparkSession, sf: str, parts: int | None = None) -> str:
+def _merged_root(spark: SparkSession, sf: str) -> str:
     root = scratch_dir(spark, "facts")
-    landed = messages.read_batch_files(spark, _landed(spark, sf, parts), stream=True,
+    landed = messages.read_batch_files(spark, _landed(spark, sf), stream=True,
                                        maxFilesPerTrigger="4")
     _await(sink.merge_encoded(landed, root, scratch_dir(spark, "ckpt")))
     return root
@@ -127,7 +126,7 @@ def sink_hourly_upsert(spark, sf):
 
 @query
 def sink_hourly_upsert_resolver(spark, sf):
-    out = read_facts(spark, _merged_root(spark, sf, 3), "resolver_hourly_stats").drop("month")
+    out = read_facts(spark, _merged_root(spark, sf), "resolver_hourly_stats").drop("month")
     return out.withColumn("avg_latency_ms", F.round("avg_latency_ms", 6))
 
 
@@ -146,7 +145,7 @@ def scan_hourly_before(spark, sf):
     root = scratch_dir(spark, "facts")
     write_delta(fx.client_hourly(spark, sf), root, "client_hourly_stats", 0)
     return rollups.rows_before(
-        read_facts(spark, root, "client_hourly_stats").drop("month"), YEAR_2000)
+        read_facts(spark, root, "client_hourly_stats"), YEAR_2000).drop("month")
 
 
 def _rule_requests(spark: SparkSession, sf: str) -> DataFrame:
@@ -889,8 +888,7 @@ def _stored_facts(spark: SparkSession, sf: str) -> str:
             *metrics.sum_counters(COUNTERS_LATENCY)), root, "resolver_hourly_stats", epoch)
         write_delta(rows.groupBy("hour_timestamp", "client_hash").agg(
             *metrics.sum_counters(COUNTERS)), root, "client_hourly_stats", epoch)
-        ledger = spark.createDataFrame([], "batch_id string, batch_day date")
-        ledger.write.mode("overwrite").parquet(f"{root}/batch_ledger/epoch={epoch}")
+        commit(spark, root, epoch)
     return root
 
 

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def strip(text: Column) -> Column:
+    """Without blanks and control characters (up to \\x20) at both ends."""
+    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+
+
 def _drop_last_dot(name: Column) -> Column:
     # Several times cheaper than a regular expression.
     return (F.when(F.endswith(name, F.lit(".")),
@@ -14,13 +19,13 @@ def _drop_last_dot(name: Column) -> Column:
 
 def normalize_domain(domain: Column, trim: bool = False) -> Column:
     """Lower-case and drop one trailing dot; ``trim`` also strips blanks at both ends."""
-    cleaned = F.lower(F.trim(domain) if trim else domain)
+    cleaned = F.lower(strip(domain) if trim else domain)
     return _drop_last_dot(cleaned)
 
 
 def strip_url_to_domain(text: Column) -> Column:
     """Lower-case host of a pasted URL: no http(s) scheme, nothing from the first slash on."""
-    bare = F.regexp_replace(F.lower(F.trim(text)), r"^https?://", "")
+    bare = F.regexp_replace(F.lower(strip(text)), r"^https?://", "")
     return F.regexp_replace(bare, r"(?s)/.*$", "")
 
 

@@ -85,5 +85,11 @@ def ts_literal(moment: datetime) -> Column:
 
 def filter_between(facts: DataFrame, window: TimeWindow,
                    column: str = "hour_timestamp") -> DataFrame:
-    """Rows inside the window, both ends included, on the stored column (it pushes down)."""
+    """Rows inside the window, both ends included, on the stored column (it pushes down).
+
+    Stored facts also have a ``month``, whose bounds leave other months' folders unread.
+    """
+    if "month" in facts.columns:
+        facts = facts.filter(F.col("month").between(window.start.strftime("%Y-%m"),
+                                                    window.end.strftime("%Y-%m")))
     return facts.filter(F.col(column).between(ts_literal(window.start), ts_literal(window.end)))

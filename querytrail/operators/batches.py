@@ -19,18 +19,18 @@ def batch_start(minute: Column) -> Column:
     return seconds - seconds % F.lit(BATCH_SECONDS)
 
 
-def parts_for(cube: DataFrame, max_entries: int = 200_000) -> int:
-    """In how many parts to split each batch so that none nests more than about ``max_entries``."""
-    largest = (cube.groupBy("resolver_id", batch_start(F.col("minute_timestamp")).alias("b"))
-               .count().agg(F.max("count")).first()[0])
-    return max(1, -(-(largest or 0) // max_entries))
+def client_part(client_hash: Column) -> Column:
+    """The part of a batch that a client belongs to: the first digit of its hash.
 
+    Sixteen parts (one more for unknown clients) at every size, so that the same ten minutes
+    always have the same batch ids."""
+    return F.substring(client_hash, 1, 1)
 
-def assemble_batches(cube: DataFrame, parts: int = 1, k: int = TOP_K) -> DataFrame:
-    """Nest an event cube into one row per resolver and ten minutes.
 
-    ``parts`` splits every batch by client, so that a busy resolver is not one huge row. A
-    part carries the resolver counters of its own clients: merging all parts gives the same
+def assemble_batches(cube: DataFrame, k: int = TOP_K) -> DataFrame:
+    """Nest an event cube into one row per resolver, ten minutes and client part.
+
+    Every batch is split by client, so that a busy resolver is not one huge row. A part carries the resolver counters of its own clients: merging all parts gives the same
     facts as merging the whole batch.
 
     The cube is read three times: pass a stored one, not a query over raw events.
@@ -51,7 +51,7 @@ def assemble_batches(cube: DataFrame, parts: int = 1, k: int = TOP_K) -> DataFra
                    F.col("domain_rank").alias("rank"), "domain",
                    F.col("total_queries").alias("count"),
                    F.col("blocked_queries").alias("blocked_count")))).alias("ranked")))
-    part = F.pmod(F.xxhash64("client_hash"), F.lit(parts)).cast("int")
+    part = client_part(F.col("client_hash"))
     entries = (clients.join(categories, _CLIENT, "left").join(domains, _CLIENT, "left")
                .select(
                    "resolver_id", batch_start(F.col("minute_timestamp")).alias("batch_start"),
@@ -75,11 +75,10 @@ def assemble_batches(cube: DataFrame, parts: int = 1, k: int = TOP_K) -> DataFra
                    "window_timestamp",
                    F.struct("window_timestamp", *COUNTERS_LATENCY).alias("resolver_stats"),
                    "client_stats").alias("minute")))
-    suffix = F.when(F.lit(parts > 1), F.concat(F.lit("-p"), F.col("part"))).otherwise("")
     return (minutes.groupBy(*batch)
             .agg(F.sort_array(F.collect_list("minute")).alias("minutes"))
             .select(
-                F.concat(F.lit("b-"), "resolver_id", F.lit("-"), "batch_start", suffix)
+                F.concat(F.lit("b-"), "resolver_id", F.lit("-"), "batch_start", F.lit("-"), "part")
                 .alias("batch_id"),
                 "resolver_id",
                 F.col("minutes")[0]["window_timestamp"].alias("window_start_timestamp"),

@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querytrail.functions.domains import (domain_suffixes, has_empty_label, label_count,
-                                          normalize_domain, suffix_count)
+                                          normalize_domain, suffix_count,
+                                          strip)
 
 MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_CHARS = 64 * 1024 * 1024
@@ -40,7 +41,7 @@ def blocked_set(rules: DataFrame, entries: DataFrame | None = None,
         raise ValueError(f"mode is compat or strict, not {mode}")
     active = active_rules(rules)
     blocks = F.upper("action") == "BLOCK"
-    name = F.lower(F.trim("domain")).alias("domain")
+    name = F.lower(strip(F.col("domain"))).alias("domain")
     adding = active.filter(blocks)
     if mode == "strict":
         adding = adding.filter(F.col("match_type") == "DOMAIN_AND_SUBDOMAINS")
@@ -58,8 +59,8 @@ def policy_table(rules: DataFrame | None, blocked: DataFrame | None,
     parts = []
     if rules is not None:
         parts.append(active_rules(rules, as_of).select(
-            F.lower(F.trim("domain")).alias("rule_domain"),
-            (F.col("action") == "BLOCK").alias("rule_block"),
+            F.lower(strip(F.col("domain"))).alias("rule_domain"),
+            (F.upper("action") == "BLOCK").alias("rule_block"),
             (F.col("match_type") == "DOMAIN_AND_SUBDOMAINS").alias("rule_subdomains"),
             F.lit(False).alias("listed")))
     if blocked is not None:

@@ -75,6 +75,8 @@ def distinct_domains_per_client(domain_hourly: DataFrame) -> DataFrame:
 
 
 def rows_before(hourly: DataFrame, cutoff: datetime) -> DataFrame:
+    if "month" in hourly.columns:  # stored facts: later months' folders stay unread
+        hourly = hourly.filter(F.col("month") <= cutoff.strftime("%Y-%m"))
     return hourly.filter(F.col("hour_timestamp") < ts_literal(cutoff))
 
 

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytrail.functions.domains import normalize_domain, strip_url_to_domain
+from querytrail.functions.domains import normalize_domain, strip, strip_url_to_domain
 from querytrail.functions.events import is_present
 from querytrail.functions.timewindow import ts_literal
 from querytrail.operators.matching import active_rules, blocked_set
@@ -34,8 +34,8 @@ def normalize_rules_api(requests: DataFrame, batch: bool = True) -> DataFrame:
     category = F.lit(API_DEFAULTS["category"])
     if batch:
         category = F.when(action == "ALLOW", "WHITELIST").otherwise(category)
-    return (requests.filter(is_present(F.trim("domain")))
-            .select(*rest, F.lower(F.trim("domain")).alias("domain"),
+    return (requests.filter(is_present(strip(F.col("domain"))))
+            .select(*rest, F.lower(strip(F.col("domain"))).alias("domain"),
                     action.alias("action"),
                     F.coalesce("match_type", F.lit(API_DEFAULTS["match_type"]))
                     .alias("match_type"),
@@ -48,14 +48,14 @@ def normalize_rules_api(requests: DataFrame, batch: bool = True) -> DataFrame:
 def normalize_rules_csv(lines: DataFrame) -> DataFrame:
     """Rules from parsed CSV fields: lenient values, upper-cased, pasted URLs cut to hosts."""
     rest = [c for c in lines.columns if c not in ("domain", *RULE_FIELDS)]
-    allow = F.coalesce(F.upper(F.trim("action")) == "ALLOW", F.lit(False))
-    exact = F.coalesce(F.upper(F.trim("match_type")) == "EXACT", F.lit(False))
+    allow = F.coalesce(F.upper(strip(F.col("action"))) == "ALLOW", F.lit(False))
+    exact = F.coalesce(F.upper(strip(F.col("match_type"))) == "EXACT", F.lit(False))
 
     def given(name: str) -> Column:
-        return F.when(is_present(F.trim(name)), F.upper(F.trim(name)))
+        return F.when(is_present(strip(F.col(name))), F.upper(strip(F.col(name))))
 
     action = F.when(allow, "ALLOW").otherwise("BLOCK")
-    reason = F.when(is_present(F.col("reason")), F.trim("reason"))
+    reason = F.when(is_present(F.col("reason")), strip(F.col("reason")))
     return (lines.select(
         *rest, strip_url_to_domain(F.col("domain")).alias("domain"),
         action.alias("action"),
@@ -99,15 +99,15 @@ def upsert_rules(existing: DataFrame, requests: DataFrame, as_of: datetime,
 
 def delete_by_domain(rows: DataFrame, domains: DataFrame) -> DataFrame:
     """Drop the rules or entries whose domain is listed (case and blanks aside)."""
-    gone = domains.select(F.lower(F.trim("domain")).alias("domain"))
+    gone = domains.select(F.lower(strip(F.col("domain"))).alias("domain"))
     return rows.join(gone, "domain", "left_anti")
 
 
 def upsert_blocked_entries(existing: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
     """Add plain list entries; a known domain takes the new category."""
-    cleaned = new.filter(is_present(F.trim("domain"))).select(
+    cleaned = new.filter(is_present(strip(F.col("domain")))).select(
         normalize_domain(F.col("domain"), trim=True).alias("domain"),
-        F.when(is_present(F.trim("category")), F.col("category")).otherwise(ENTRY_CATEGORY)
+        F.when(is_present(strip(F.col("category"))), F.col("category")).otherwise(ENTRY_CATEGORY)
         .alias("category"),
         F.col(order).cast("long").alias("__order"))
     rows = existing.select("domain", "category", F.lit(-1).cast("long").alias("__order"))
@@ -139,7 +139,7 @@ def rule_snapshot(rules: DataFrame, entries: DataFrame | None = None,
 
 def apply_rule_delta(blocked: DataFrame, delta: DataFrame, order: str = "seq") -> DataFrame:
     """The blocked set after changed rules: active BLOCK adds, all else removes."""
-    last = last_per_key(delta.select(F.lower(F.trim("domain")).alias("domain"), "action",
+    last = last_per_key(delta.select(F.lower(strip(F.col("domain"))).alias("domain"), "action",
                                      "status", order), "domain", order)
     adds = F.coalesce((F.upper("status") == "ACTIVE") & (F.upper("action") == "BLOCK"),
                       F.lit(False))
@@ -152,6 +152,6 @@ def apply_rule_delta_to_rules(snapshot: DataFrame, delta: DataFrame,
     """The active rules after changed rules: an inactive one disappears."""
     fields = [c for c in snapshot.columns if c != "domain"]
     last = last_per_key(
-        delta.select(F.lower(F.trim("domain")).alias("domain"), *fields, order), "domain", order)
+        delta.select(F.lower(strip(F.col("domain"))).alias("domain"), *fields, order), "domain", order)
     return (snapshot.join(last, "domain", "left_anti").select("domain", *fields)
             .unionByName(active_rules(last).select("domain", *fields)))

@@ -185,7 +185,8 @@ _DM = """dm AS (SELECT resolver_id, m, client_hash, domain, count(*) AS t,
               row_number() OVER (PARTITION BY resolver_id, m, client_hash
                                  ORDER BY count(*) DESC, domain) AS r
        FROM pe WHERE domain <> '' GROUP BY resolver_id, m, client_hash, domain)"""
-_BATCH_ID = "'b-' || resolver_id || '-' || (CAST(epoch(m) AS BIGINT) // 600 * 600)"
+_BATCH_ID = ("'b-' || resolver_id || '-' || (CAST(epoch(m) AS BIGINT) // 600 * 600) || '-' || "
+             "left(client_hash, 1)")
 _CLIENT_MINUTES = f"""SELECT {_BATCH_ID} AS batch_id, resolver_id, m AS minute_timestamp,
   client_hash, {_CNT}, {_LAT} FROM pe %s GROUP BY resolver_id, m, client_hash"""
 
@@ -413,7 +414,7 @@ FROM pe GROUP BY 1, 2""",
 m AS minute_timestamp, client_hash, category, {_PAIR} FROM pe WHERE category <> ''
 GROUP BY resolver_id, m, client_hash, category""",
     "flatten_batch_resolver": f"""WITH {_PE} SELECT {_BATCH_ID} AS batch_id, resolver_id,
-m AS minute_timestamp, {_CNT}, {_LAT} FROM pe GROUP BY resolver_id, m""",
+m AS minute_timestamp, {_CNT}, {_LAT} FROM pe GROUP BY 1, resolver_id, m""",
     "hourly_resolver": _HOUR_RESOLVER,
     "hourly_client": _HOUR_CLIENT,
     "hourly_client_category": _HOUR_CATEGORY,

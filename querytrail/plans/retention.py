@@ -11,12 +11,13 @@ from querytrail.operators import rollups
 from querytrail.operators.metrics import sum_counters
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY
 from querytrail.sources import paths
-from querytrail.sources.facts import (last_committed, read_deltas, read_facts,
-                                      write_delta)
+from querytrail.sources.facts import (ROLLOVER_LOG, finished_rollovers, last_committed,
+                                      read_deltas, read_facts, rolled_epochs, up_to, write_delta)
 
-_LOG = "rollover_log"
 HOURLY_TABLES = ["resolver_hourly_stats", "client_hourly_stats", "client_category_hourly",
                  "client_top_domains_hourly"]
+ROLLED_TABLES = ["resolver_daily_stats", "resolver_monthly_stats", "client_daily_stats",
+                 "client_monthly_stats"]
 
 
 def first_of_month(as_of: datetime) -> datetime:
@@ -43,45 +44,61 @@ def rollover_tables(resolver_hourly: DataFrame, client_hourly: DataFrame,
     }
 
 
-def _drop_months(spark: SparkSession, root: str, month: str, last_epoch: int) -> None:
-    """Remove the folders of months before ``month``, up to the epoch that was rolled up."""
+def _drop_months(spark: SparkSession, root: str, month: str, rolled: dict[str, int]) -> None:
+    """Remove the folders of months before ``month``, up to the epochs that were rolled up."""
     for table in HOURLY_TABLES:
         base = f"{root}/{table}"
         for name in paths.subfolders(spark, base):
-            if name.startswith("month=") and name.split("=")[1] < month:
-                for epoch in paths.subfolders(spark, f"{base}/{name}"):
-                    if int(epoch.split("=")[1]) <= last_epoch:
-                        paths.delete(spark, f"{base}/{name}/{epoch}")
+            if not (name.startswith("month=") and name.split("=")[1] < month):
+                continue
+            for stream, last in rolled.items():
+                folder = f"{base}/{name}/stream={stream}"
+                epochs = {e: int(e.split("=")[1]) for e in paths.subfolders(spark, folder)}
+                gone = [e for e, n in epochs.items() if n <= last]
+                if len(gone) == len(epochs):
+                    paths.delete(spark, folder)
+                else:
+                    for e in gone:
+                        paths.delete(spark, f"{folder}/{e}")
+
+
+def _drop_unfinished(spark: SparkSession, root: str, finished: list[int]) -> None:
+    """Remove day and month rows of rollovers that stopped before their log entry."""
+    for table in ROLLED_TABLES:
+        for name in paths.subfolders(spark, f"{root}/{table}"):
+            if name.startswith("epoch=") and int(name.split("=")[1]) not in finished:
+                paths.delete(spark, f"{root}/{table}/{name}")
 
 
 def month_rollover(spark: SparkSession, root: str, as_of: datetime) -> None:
     """Roll up all hours before the month of ``as_of`` and drop them; safe to run again.
 
     Only epochs committed when the job starts are read and removed. The log entry, written
-    after the rollups, is the commit: before it a new run redoes the rollups in full, after
-    it only the removal is finished. Hours arriving later for an old month are added by the
-    next rollover.
+    after the rollups, is the commit: readers show neither the rollups before it nor the rolled
+    hours after it, so a stop at any point shows each hour once. A new run, of whatever month,
+    begins by removing what an unfinished one left. Hours arriving later for an old month are
+    added by the next rollover.
     """
     cutoff = first_of_month(as_of)
     month, run = cutoff.strftime("%Y-%m"), cutoff.year * 100 + cutoff.month
-    log = f"{root}/{_LOG}/run={run}"
+    log = f"{root}/{ROLLOVER_LOG}/run={run}"
     if not paths.is_complete(spark, log):
+        # From here on readers trust the log, so a first rollover is not seen half-written.
+        paths.make_folder(spark, f"{root}/{ROLLOVER_LOG}")
+        _drop_unfinished(spark, root, finished_rollovers(spark, root))
         last = last_committed(spark, root)
-        last = -1 if last is None else last
 
         def pinned(table: str) -> DataFrame:
             # Whole months by partition, so that nothing of the current month is read.
-            return read_deltas(spark, root, table).filter(
-                (F.col("month") < month) & (F.col("epoch") <= last))
+            return read_deltas(spark, root, table).filter((F.col("month") < month) & up_to(last))
 
         tables = rollover_tables(pinned("resolver_hourly_stats"),
                                  pinned("client_hourly_stats"), cutoff)
         for table, rows in tables.items():
             write_delta(rows, root, table, run)
-        (spark.range(1).select(F.lit(last).cast("long").alias("last_epoch"))
+        (spark.createDataFrame(list(last.items()), "stream string, last_epoch long")
          .coalesce(1).write.mode("overwrite").parquet(log))
-    last = spark.read.parquet(log).first()["last_epoch"]
-    _drop_months(spark, root, month, last)
+    _drop_months(spark, root, month, rolled_epochs(spark, root, run))
 
 
 def purge_detail(spark: SparkSession, root: str, cutoff: datetime) -> None:

@@ -1,29 +1,36 @@
 """Fact tables as parquet below one root folder.
 
 Facts are additive, so an arriving micro-batch is written as rows of its own under
-``<table>/month=yyyy-MM/epoch=N`` and rows of one key are added up on reading. A write costs
-what the delta costs, whatever the size of the table, and writing an epoch again replaces it.
-Day and month tables get one epoch per rollover, which is about a month, and no ``month`` level.
+``<table>/month=yyyy-MM/stream=S/epoch=N`` and rows of one key are added up on reading. A write
+costs what the delta costs, whatever the size of the table, and writing an epoch again replaces
+it. Epochs count per stream: a query with a new checkpoint is a new stream. Day and month tables
+get one epoch per rollover, which is about a month, and no other level.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querytrail.operators.merge import merge_rows
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, FACT_KEYS
-from querytrail.sources.paths import exists, is_complete, subfolders
+from querytrail.sources.paths import delete, exists, is_complete, subfolders
 
 LEDGER = "batch_ledger"
+COMMITS = "batch_commits"
+ROLLOVER_LOG = "rollover_log"
+#: The stream of batches that are merged without a streaming query.
+MAIN = "main"
 _KEY_TYPES = {"hour_timestamp": T.TimestampType(), "date_timestamp": T.DateType()}
 _PAIR = ["total_queries", "blocked_queries"]
 _VALUES = {"client_category_hourly": _PAIR, "client_top_domains_hourly": _PAIR}
 
 
 def partitions(table: str) -> list[str]:
-    return ["month", "epoch"] if FACT_KEYS[table][0] == "hour_timestamp" else ["epoch"]
+    return ["month", "stream", "epoch"] if FACT_KEYS[table][0] == "hour_timestamp" else ["epoch"]
 
 
 def stored_schema(table: str) -> T.StructType:
@@ -38,11 +45,11 @@ def stored_schema(table: str) -> T.StructType:
                    T.StructField("rank_at", T.TimestampType()),
                    T.StructField("rank_batch", T.StringType())]
     if "month" in partitions(table):
-        fields.append(T.StructField("month", T.StringType()))
+        fields += [T.StructField("month", T.StringType()), T.StructField("stream", T.StringType())]
     return T.StructType([*fields, T.StructField("epoch", T.LongType())])
 
 
-def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
+def write_delta(rows: DataFrame, root: str, table: str, epoch: int, stream: str = MAIN) -> None:
     """Write one epoch of a table, replacing what an earlier attempt left of it.
 
     Rebalancing by month keeps the file count down where months are small and splits a large
@@ -53,6 +60,8 @@ def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
     if "month" in levels:
         out = out.withColumn("month", F.date_format("hour_timestamp", "yyyy-MM"))
     spread = "month" if "month" in levels else FACT_KEYS[table][-1]
+    if "stream" in levels:
+        out = out.withColumn("stream", F.lit(stream))
     (out.withColumn("epoch", F.lit(epoch).cast("long"))
      .hint("rebalance", spread)
      .sortWithinPartitions(*levels, *FACT_KEYS[table])
@@ -60,26 +69,70 @@ def write_delta(rows: DataFrame, root: str, table: str, epoch: int) -> None:
      .partitionBy(*levels).parquet(f"{root}/{table}"))
 
 
-def last_committed(spark: SparkSession, root: str) -> int | None:
-    """The newest epoch whose ledger entry is complete; all before it are, too."""
-    epochs = sorted((int(n.split("=")[1]) for n in subfolders(spark, f"{root}/{LEDGER}")
-                     if n.startswith("epoch=")), reverse=True)
-    return next((e for e in epochs if is_complete(spark, f"{root}/{LEDGER}/epoch={e}")), None)
+def commit(spark: SparkSession, root: str, epoch: int, stream: str = MAIN) -> None:
+    """Make all epochs of the stream up to this one visible. One marker per stream is kept."""
+    base = f"{root}/{COMMITS}/stream={stream}"
+    spark.range(0).coalesce(1).write.mode("overwrite").parquet(f"{base}/epoch={epoch}")
+    for name in subfolders(spark, base):
+        if int(name.split("=")[1]) < epoch:
+            delete(spark, f"{base}/{name}")
+
+
+def last_committed(spark: SparkSession, root: str) -> dict[str, int]:
+    """The newest committed epoch of each stream; all before it are committed, too."""
+    out = {}
+    for name in subfolders(spark, f"{root}/{COMMITS}"):
+        base = f"{root}/{COMMITS}/{name}"
+        done = [int(e.split("=")[1]) for e in subfolders(spark, base)
+                if is_complete(spark, f"{base}/{e}")]
+        if done:
+            out[name.split("=", 1)[1]] = max(done)
+    return out
+
+
+def up_to(epochs: dict[str, int]) -> Column:
+    """Rows of epochs not newer than the given one of their stream."""
+    return reduce(lambda a, b: a | b, [
+        (F.col("stream") == stream) & (F.col("epoch") <= epoch)
+        for stream, epoch in epochs.items()], F.lit(False))
+
+
+def finished_rollovers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers (yyyyMM) of the rollovers whose log entry is complete, oldest first."""
+    path = f"{root}/{ROLLOVER_LOG}"
+    return sorted(int(n.split("=")[1]) for n in subfolders(spark, path)
+                  if n.startswith("run=") and is_complete(spark, f"{path}/{n}"))
+
+
+def rolled_epochs(spark: SparkSession, root: str, run: int) -> dict[str, int]:
+    """What a rollover has read: the newest epoch of each stream."""
+    rows = spark.read.parquet(f"{root}/{ROLLOVER_LOG}/run={run}").collect()
+    return {r["stream"]: r["last_epoch"] for r in rows}
 
 
 def read_deltas(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Stored rows as they are, several per key where several epochs touched it.
 
     Of hourly tables only committed epochs are shown, so all four tables agree while a
-    micro-batch is being merged. Tables filled without a ledger are shown whole.
+    micro-batch is being merged, and no hours that a finished rollover has taken, removed yet
+    or not. Of day and month tables only finished rollovers are shown. Tables filled without a
+    ledger or a rollover are shown whole.
     """
     schema, path = stored_schema(table), f"{root}/{table}"
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).parquet(path)
-    if "month" in partitions(table) and exists(spark, f"{root}/{LEDGER}"):
-        last = last_committed(spark, root)
-        rows = rows.filter(F.col("epoch") <= F.lit(-1 if last is None else last))
+    runs = finished_rollovers(spark, root)
+    if "month" not in partitions(table):
+        if exists(spark, f"{root}/{ROLLOVER_LOG}"):
+            rows = rows.filter(F.col("epoch").isin(runs))
+        return rows
+    if exists(spark, f"{root}/{COMMITS}"):
+        rows = rows.filter(up_to(last_committed(spark, root)))
+    if runs:
+        month = f"{runs[-1] // 100:04d}-{runs[-1] % 100:02d}"
+        rows = rows.filter((F.col("month") >= month)
+                           | ~up_to(rolled_epochs(spark, root, runs[-1])))
     return rows
 
 
@@ -90,7 +143,7 @@ def read_facts(spark: SparkSession, root: str, table: str) -> DataFrame:
     """
     keys = FACT_KEYS[table]
     by = [*keys, "month"] if "month" in partitions(table) else keys
-    merged = merge_rows(read_deltas(spark, root, table).drop("epoch"), by)
+    merged = merge_rows(read_deltas(spark, root, table).drop("stream", "epoch"), by)
     if table.startswith("resolver"):
         total = F.col("total_queries")
         merged = merged.withColumn(

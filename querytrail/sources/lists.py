@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querytrail.functions.domains import strip
 from querytrail.functions.events import is_present
 from querytrail.operators.rules import API_DEFAULTS
 from querytrail.schemas import RULES_CSV
@@ -23,7 +24,7 @@ def read_numbered_lines(spark: SparkSession, path: str) -> DataFrame:
             .select(F.col("_metadata.file_path").alias("file"),
                     F.struct(F.col("_metadata.file_block_start").alias("block"),
                              F.monotonically_increasing_id().alias("row")).alias("seq"),
-                    F.trim("value").alias("line"))
+                    strip(F.col("value")).alias("line"))
             .filter(is_present(F.col("line"))))
 
 
@@ -74,7 +75,7 @@ def write_rules_csv(rules: DataFrame, path: str) -> None:
 
 def read_domain_list(spark: SparkSession, path: str) -> DataFrame:
     """One domain per line: trimmed, blanks dropped, distinct."""
-    return (spark.read.text(path).select(F.trim("value").alias("domain"))
+    return (spark.read.text(path).select(strip(F.col("value")).alias("domain"))
             .filter(is_present(F.col("domain"))).distinct())
 
 

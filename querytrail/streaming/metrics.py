@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from querytrail.operators.batches import assemble_batches, parts_for
+from querytrail.operators.batches import assemble_batches
 from querytrail.operators.metrics import (TOP_K, agg_client_domain_minute, agg_client_minute,
                                           agg_resolver_minute, event_counters, top_domains)
 from querytrail.sources.codec import encode_batches
@@ -53,16 +53,15 @@ def stream_batch_cube(events: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def write_encoded_batches(cube: DataFrame, path: str, checkpoint: str,
-                          parts: int | None = None, k: int = TOP_K):
+                          k: int = TOP_K):
     """Nest and encode closed batches; one folder per micro-batch, replaced on a retry.
 
-    Without ``parts`` each micro-batch splits its batches as their size demands.
     """
     def encode(rows: DataFrame, epoch: int) -> None:
         # Nesting reads the rows three times; the state must be read once.
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            (encode_batches(assemble_batches(rows, parts or parts_for(rows), k))
+            (encode_batches(assemble_batches(rows, k))
              .write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
         finally:
             rows.unpersist()

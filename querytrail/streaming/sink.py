@@ -11,8 +11,9 @@ from querytrail.operators import metrics
 from querytrail.operators.merge import merge_aggs
 from querytrail.schemas import COUNTERS_LATENCY, FACT_KEYS
 from querytrail.sources.codec import bad_batches, decode_batches, good_batches
-from querytrail.sources.facts import LEDGER, write_delta
-from querytrail.sources.paths import exists, is_complete, make_folder
+from querytrail.sources.facts import (COMMITS, LEDGER, MAIN, commit, last_committed, up_to,
+                                      write_delta)
+from querytrail.sources.paths import exists, make_folder
 
 _DEAD = "dead_letters"
 
@@ -21,15 +22,15 @@ def _batch_day():
     return F.to_date(F.timestamp_seconds("window_start_timestamp"))
 
 
-def is_applied(spark: SparkSession, root: str, epoch: int) -> bool:
-    return is_complete(spark, f"{root}/{LEDGER}/epoch={epoch}")
+def is_applied(spark: SparkSession, root: str, epoch: int, stream: str = MAIN) -> bool:
+    return epoch <= last_committed(spark, root).get(stream, -1)
 
 
 def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
-    """Batches whose id is not in the ledger, each once.
+    """Batches whose id is not in a committed epoch of the ledger, each once.
 
-    Looks at the batches twice, so they should be persisted. Only ledger rows of the days
-    present are read: a redelivered batch has its old day.
+    Looks at the batches twice, so they should be persisted. The ledger is stored by day and
+    only the days present are read: a redelivered batch has its old day.
     """
     spark = batches.sparkSession
     facts = batches.agg(F.count("batch_id").alias("rows"),
@@ -40,8 +41,10 @@ def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
     if facts["rows"] == 0 or not exists(spark, path):
         return once
     days = [F.lit(str(facts[d])).cast("date") for d in ("lo", "hi")]
-    seen = (spark.read.schema("batch_id string, batch_day date, epoch long").parquet(path)
-            .filter(F.col("batch_day").between(*days)).select("batch_id"))
+    seen = (spark.read.schema("batch_id string, batch_day date, stream string, epoch long")
+            .parquet(path)
+            .filter(F.col("batch_day").between(*days) & up_to(last_committed(spark, root)))
+            .select("batch_id"))
     return once.join(seen, "batch_id", "left_anti")
 
 
@@ -65,29 +68,33 @@ def hourly_deltas(batches: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _apply(batches: DataFrame, epoch: int, root: str) -> None:
-    # From here on readers trust the ledger, so a first epoch is not seen half-written.
-    make_folder(batches.sparkSession, f"{root}/{LEDGER}")
+def _apply(batches: DataFrame, epoch: int, root: str, stream: str) -> None:
+    # From here on readers trust the commits, so a first epoch is not seen half-written.
+    spark = batches.sparkSession
+    make_folder(spark, f"{root}/{COMMITS}")
     fresh = unseen_batches(batches, root)
     for table, delta in hourly_deltas(fresh).items():
-        write_delta(delta, root, table, epoch)
-    (fresh.select("batch_id", _batch_day().alias("batch_day"))
-     .write.mode("overwrite").parquet(f"{root}/{LEDGER}/epoch={epoch}"))
+        write_delta(delta, root, table, epoch, stream)
+    (fresh.select("batch_id", _batch_day().alias("batch_day"), F.lit(stream).alias("stream"),
+                  F.lit(epoch).cast("long").alias("epoch"))
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_day", "stream", "epoch").parquet(f"{root}/{LEDGER}"))
+    commit(spark, root, epoch, stream)
 
 
-def apply_batches(batches: DataFrame, epoch: int, root: str) -> None:
+def apply_batches(batches: DataFrame, epoch: int, root: str, stream: str = MAIN) -> None:
     """Merge one micro-batch of decoded batches.
 
-    The ledger is written last and commits the epoch: an interrupted epoch is redone in full
-    and replaces what it had written, a committed one is skipped. Batches may be late by any
-    amount. Epochs must come one after the other, as a streaming query delivers them.
+    The commit is written last: an interrupted epoch is redone in full and replaces what it had
+    written, a committed one is skipped. Epochs count within ``stream`` and must come one after
+    the other, as a streaming query delivers them; whatever the stream, a batch id in the ledger
+    is not merged again. Batches may be late by any amount.
     """
-    spark = batches.sparkSession
-    if is_applied(spark, root, epoch):
+    if is_applied(batches.sparkSession, root, epoch, stream):
         return
     held = batches.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        _apply(held, epoch, root)
+        _apply(held, epoch, root, stream)
     finally:
         held.unpersist()
 
@@ -95,16 +102,24 @@ def apply_batches(batches: DataFrame, epoch: int, root: str) -> None:
 def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
     """Stream writer from encoded messages to the hourly tables.
 
-    What cannot be decoded goes to a dead-letter folder and stops nothing.
+    Epochs belong to the query that its checkpoint names: with a new checkpoint they count anew,
+    and the ledger of batch ids alone says what is a repeat. What cannot be decoded, or has no
+    batch id, goes to a dead-letter folder and stops nothing.
     """
     def merge(rows: DataFrame, epoch: int) -> None:
-        if is_applied(rows.sparkSession, root, epoch):
+        spark = rows.sparkSession
+        stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("no streaming query runs here")
+        if is_applied(spark, root, epoch, stream):
             return
         decoded = decode_batches(rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            (bad_batches(decoded).write.mode("overwrite")
-             .parquet(f"{root}/{_DEAD}/epoch={epoch}"))
-            _apply(good_batches(decoded), epoch, root)
+            bad = bad_batches(decoded)
+            if not bad.isEmpty():
+                bad.write.mode("overwrite").parquet(
+                    f"{root}/{_DEAD}/stream={stream}/epoch={epoch}")
+            _apply(good_batches(decoded), epoch, root, stream)
         finally:
             decoded.unpersist()
 
@@ -113,8 +128,10 @@ def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
 
 
 def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
-    return (spark.read.schema("value binary, error string, epoch long")
-            .parquet(f"{root}/{_DEAD}"))
+    schema = "key string, value binary, error string, stream string, epoch long"
+    path = f"{root}/{_DEAD}"
+    return (spark.read.schema(schema).parquet(path) if exists(spark, path)
+            else spark.createDataFrame([], schema))
 
 
 def dedup_stream(batches: DataFrame, delay: str = "1 hour") -> DataFrame:

@@ -89,10 +89,13 @@ def test_top_list_cuts_and_breaks_ties_by_name(spark):
 
 
 def test_parts_carry_the_same_facts(cube, nested, expected):
-    parts = batches.assemble_batches(cube, parts=3)
-    assert parts.count() > nested.count()
-    assert batches.parts_for(cube, max_entries=10) > 1 and batches.parts_for(cube) == 1
-    for table, delta in sink.hourly_deltas(parts).items():
+    resolvers = nested.select("resolver_id", "window_start_timestamp").distinct().count()
+    assert nested.count() > resolvers
+    # A part of the cube has the batch ids of the whole.
+    ids = {r["batch_id"] for r in nested.select("batch_id").collect()}
+    some = batches.assemble_batches(cube.filter(F.crc32("client_hash") % 2 == 0))
+    assert {r["batch_id"] for r in some.select("batch_id").collect()} <= ids
+    for table, delta in sink.hourly_deltas(nested).items():
         if table == "client_hourly_stats":
             assert rows_of(delta) == expected[table]
         if table == "resolver_hourly_stats":
@@ -116,12 +119,14 @@ def test_wire_bytes_are_plain_protobuf():
 
 def test_unreadable_messages_are_set_aside(spark, nested):
     good = codec.encode_batches(nested)
-    bad = spark.createDataFrame([("x", bytearray(b"no zstd")), ("y", None), ("z", bytearray(b""))],
+    bad = spark.createDataFrame([("x", bytearray(b"no zstd")), ("y", None), ("z", bytearray(b"")),
+                                 ("w", bytearray(codec.encode_row({"batch_id": " "})))],
                                 "key string, value binary")
     decoded = codec.decode_batches(good.unionByName(bad)).cache()
     assert codec.good_batches(decoded).count() == nested.count()
     dead = codec.bad_batches(decoded).collect()
-    assert len(dead) == 3 and all(r["error"] for r in dead)
+    assert len(dead) == 4 and all(r["error"] for r in dead)
+    assert {r["key"] for r in dead} == {"w", "x", "y", "z"}
 
 
 def test_any_split_and_order_gives_the_same_tables(spark, nested, expected, tmp_path):
@@ -149,11 +154,11 @@ def test_repeats_are_not_counted(spark, nested, expected, tmp_path):
 def test_interrupted_epoch_is_redone(spark, nested, expected, tmp_path, monkeypatch):
     root, done = str(tmp_path / "r"), []
 
-    def dies(rows, base, table, epoch):
+    def dies(rows, base, table, *which):
         if len(done) == 2:
             raise RuntimeError("lost the driver")
         done.append(table)
-        write_delta(rows, base, table, epoch)
+        write_delta(rows, base, table, *which)
 
     monkeypatch.setattr(sink, "write_delta", dies)
     with pytest.raises(RuntimeError):
@@ -283,6 +288,70 @@ def test_rollover_survives_a_stop(spark, nested, tmp_path, monkeypatch, stop_at)
     assert rows_of(retention.tiered_summary(spark, root)) == before
 
 
+@pytest.mark.parametrize("stop_at", range(1, 5))
+def test_stopped_rollover_then_another_month(spark, nested, tmp_path, monkeypatch, stop_at):
+    root = stored(spark, nested, str(tmp_path / "r"))
+    before = rows_of(retention.tiered_summary(spark, root))
+    calls = []
+
+    def dies(*arguments):
+        write_delta(*arguments)
+        calls.append(1)
+        if len(calls) == stop_at:
+            raise RuntimeError("lost the driver")
+
+    monkeypatch.setattr(retention, "write_delta", dies)
+    with pytest.raises(RuntimeError):
+        retention.month_rollover(spark, root, datetime(2024, 4, 15))
+    monkeypatch.undo()
+    assert rows_of(retention.tiered_summary(spark, root)) == before
+    retention.month_rollover(spark, root, datetime(2024, 5, 2))
+    assert rows_of(retention.tiered_summary(spark, root)) == before
+    total = F.sum("total_queries").alias("n")
+    assert (read_facts(spark, root, "client_daily_stats").agg(total).first()
+            == nested_total(nested))
+
+
+def nested_total(nested):
+    return batches.flatten_clients(nested).agg(F.sum("total_queries").alias("n")).first()
+
+
+def test_rolled_hours_are_hidden_before_they_are_removed(spark, nested, tmp_path, monkeypatch):
+    root = stored(spark, nested, str(tmp_path / "r"))
+    before = rows_of(retention.tiered_summary(spark, root))
+    monkeypatch.setattr(retention, "_drop_months", lambda *a: None)
+    retention.month_rollover(spark, root, datetime(2024, 4, 15))
+    assert rows_of(retention.tiered_summary(spark, root)) == before
+    assert {r["month"] for r in read_deltas(spark, root, "client_hourly_stats")
+            .select("month").distinct().collect()} == {"2024-04"}
+
+
+def test_new_checkpoint_loses_nothing(spark, nested, expected, tmp_path):
+    """Two queries with checkpoints of their own, other files each, then one file again."""
+    root, parity = str(tmp_path / "r"), F.crc32("batch_id") % 2
+    for side in (0, 1):
+        landed = str(tmp_path / f"landed{side}")
+        codec.encode_batches(nested.filter(parity == side)).write.parquet(landed)
+    for n, side in enumerate((0, 1, 0)):
+        rows = messages.read_batch_files(spark, str(tmp_path / f"landed{side}"), stream=True)
+        query = (sink.merge_encoded(rows, root, str(tmp_path / f"ckpt{n}"))
+                 .trigger(availableNow=True).start())
+        query.awaitTermination()
+    assert tables_of(spark, root)[HOURLY[1]] == expected[HOURLY[1]]
+    assert sink.read_dead_letters(spark, root).isEmpty()
+
+
+def test_time_filters_prune_months(spark, nested, tmp_path):
+    from querytrail.functions.timewindow import TimeWindow, filter_between
+    root = stored(spark, nested, str(tmp_path / "r"))
+    facts_ = read_facts(spark, root, "client_hourly_stats")
+    window = TimeWindow(datetime(2024, 4, 1), datetime(2024, 4, 1, 1))
+    for rows in (filter_between(facts_, window),
+                 rollups.rows_before(facts_, datetime(2024, 4, 2))):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "(month" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 def test_rollover_finishes_an_unfinished_removal(spark, nested, tmp_path, monkeypatch):
     root = stored(spark, nested, str(tmp_path / "r"))
     before = rows_of(retention.tiered_summary(spark, root))
