@@ -929,43 +929,73 @@ def tiered_summary(spark, sf):
     return _round_latency(retention.tiered_summary(spark, root))
 
 
+@query
+def tiered_summary_during_removal(spark, sf):
+    """The rollover has committed; its hours are still in place."""
+    root = _stored_facts(spark, sf)
+    retention.roll_up(spark, root, YEAR_2000)
+    return _round_latency(retention.tiered_summary(spark, root))
+
+
 # --- streaming -------------------------------------------------------------------------
 
-def _stream_to_table(spark: SparkSession, rows: DataFrame) -> DataFrame:
-    path = scratch_dir(spark, "stream")
-    _await(rows.writeStream.outputMode("append").format("parquet")
-           .option("checkpointLocation", scratch_dir(spark, "ckpt")).option("path", path))
-    return spark.read.schema(rows.schema).parquet(path)
+def _streamed_cube(spark: SparkSession, sf: str) -> str:
+    path = scratch_dir(spark, "cube")
+    _await(stream.write_cube(fx.prepared_stream(spark, sf), path, scratch_dir(spark, "ckpt")))
+    return path
 
 
 @query
 def stream_minute_metrics(spark, sf):
-    return _stream_to_table(spark, stream.stream_resolver_minutes(fx.prepared_stream(spark, sf)))
+    return stream.resolver_minutes(stream.read_cube(spark, _streamed_cube(spark, sf)))
 
 
 @query
 def stream_client_minutes(spark, sf):
-    return _stream_to_table(spark, stream.stream_client_minutes(fx.prepared_stream(spark, sf)))
+    return stream.client_minutes(stream.read_cube(spark, _streamed_cube(spark, sf)))
 
 
 @query
 def stream_top_domains(spark, sf):
-    path = scratch_dir(spark, "tops")
-    rows = stream.stream_domain_minutes(fx.prepared_stream(spark, sf))
-    _await(stream.write_top_domains(rows, path, scratch_dir(spark, "ckpt")))
-    return spark.read.parquet(path).drop("epoch")
+    return stream.client_top_domains(stream.read_cube(spark, _streamed_cube(spark, sf)))
 
 
 @query
 def stream_10min_batches(spark, sf):
-    """Client minutes of the batches that closed in the stream."""
-    path = scratch_dir(spark, "encoded")
-    cube = stream.stream_batch_cube(fx.prepared_stream(spark, sf))
-    _await(stream.write_encoded_batches(cube, path, scratch_dir(spark, "ckpt")))
-    decoded = codec.decode_batches(messages.read_batch_files(spark, path))
+    """Client minutes of the batches that the stream has published."""
+    path = scratch_dir(spark, "published")
+    out = stream.publish_batches(spark, _streamed_cube(spark, sf), path)
+    decoded = codec.decode_batches(messages.read_batch_files(spark, out))
     return batches.flatten_clients(codec.good_batches(decoded))
 
 
+@query
+def late_events(spark, sf):
+    """Client minutes of two published runs: every third event comes after all the others."""
+    cube, path = scratch_dir(spark, "cube"), scratch_dir(spark, "published")
+    late = F.col("event_id") % 3 == 0
+    for part in (~late, late):
+        events = fx.prepared_stream(spark, sf).filter(part)
+        _await(stream.write_cube(events, cube, scratch_dir(spark, "ckpt")))
+        stream.publish_batches(spark, cube, path)
+    decoded = codec.decode_batches(messages.read_batch_files(spark, f"{path}/batches"))
+    rows = batches.flatten_clients(codec.good_batches(decoded))
+    return stream.client_minutes(rows)
+
+
+@query
+def sink_new_checkpoint(spark, sf):
+    """Two halves of the batch files, merged into one root by queries with own checkpoints."""
+    nested, root = _stored_batches(spark, sf), scratch_dir(spark, "facts")
+    for side in (0, 1):
+        landed = scratch_dir(spark, "landed")
+        messages.write_batch_files(
+            codec.encode_batches(nested.filter(F.crc32("batch_id") % 2 == side)), landed)
+        _await(sink.merge_encoded(messages.read_batch_files(spark, landed, stream=True), root,
+                                  scratch_dir(spark, "ckpt")))
+    return read_facts(spark, root, "client_hourly_stats").drop("month")
+
+
 @query
 def stream_policy_decision(spark, sf):
     root, path = scratch_dir(spark, "snapshot"), scratch_dir(spark, "decided")

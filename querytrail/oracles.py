@@ -307,9 +307,6 @@ def _pipeline() -> str:
 
 
 # A window is closed once it ends at or before the latest event less two minutes.
-_CLOSED = "(SELECT max(ts) - INTERVAL 2 MINUTE FROM events)"
-_CLOSED_MINUTE = f"WHERE m + INTERVAL 1 MINUTE <= {_CLOSED}"
-_CLOSED_TEN = f"WHERE time_bucket(INTERVAL 10 MINUTE, ts) + INTERVAL 10 MINUTE <= {_CLOSED}"
 
 _KEPT = f"date_trunc('month', hour_timestamp) >= {_Y2K}"
 
@@ -593,13 +590,18 @@ WHERE {_KEPT} GROUP BY 1""",
 WHERE hour_timestamp >= {_Y2K} GROUP BY ALL""",
     "tiered_summary": f"""WITH {_FB0} SELECT strftime(hour_timestamp, '%Y-%m') AS year_month,
 {_S8}, {_SAVG} FROM fb GROUP BY 1""",
+    "tiered_summary_during_removal": f"""WITH {_FB0} SELECT strftime(hour_timestamp, '%Y-%m') AS year_month,
+{_S8}, {_SAVG} FROM fb GROUP BY 1""",
 
     "stream_minute_metrics": f"""WITH {_PE} SELECT m AS minute_timestamp, {_CNT}, {_LAT} FROM pe
-{_CLOSED_MINUTE} GROUP BY m""",
+GROUP BY m""",
     "stream_client_minutes": f"""WITH {_PE} SELECT m AS minute_timestamp, client_hash, {_CNT}, {_LAT}
-FROM pe {_CLOSED_MINUTE} GROUP BY m, client_hash""",
-    "stream_top_domains": _top_rows("minute", 10) + f" AND m + INTERVAL 1 MINUTE <= {_CLOSED}",
-    "stream_10min_batches": f"WITH {_PE} " + _CLIENT_MINUTES % _CLOSED_TEN,
+FROM pe GROUP BY m, client_hash""",
+    "stream_top_domains": _top_rows("minute", 10),
+    "stream_10min_batches": f"WITH {_PE} " + _CLIENT_MINUTES % "",
+    "late_events": f"""WITH {_PE} SELECT m AS minute_timestamp, client_hash, {_CNT}, {_LAT}
+FROM pe GROUP BY m, client_hash""",
+    "sink_new_checkpoint": _HOUR_CLIENT,
     "stream_policy_decision": _policy_events(),
     "zero_fill_minutes": f"""WITH {_PE},
 span AS (SELECT unnest(generate_series(min(m), max(m), INTERVAL 1 MINUTE)) AS m FROM pe),

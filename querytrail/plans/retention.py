@@ -70,35 +70,45 @@ def _drop_unfinished(spark: SparkSession, root: str, finished: list[int]) -> Non
                 paths.delete(spark, f"{root}/{table}/{name}")
 
 
-def month_rollover(spark: SparkSession, root: str, as_of: datetime) -> None:
-    """Roll up all hours before the month of ``as_of`` and drop them; safe to run again.
+def roll_up(spark: SparkSession, root: str, as_of: datetime) -> int:
+    """Write and commit the day and month rows of all hours before the month of ``as_of``.
 
-    Only epochs committed when the job starts are read and removed. The log entry, written
-    after the rollups, is the commit: readers show neither the rollups before it nor the rolled
-    hours after it, so a stop at any point shows each hour once. A new run, of whatever month,
-    begins by removing what an unfinished one left. Hours arriving later for an old month are
-    added by the next rollover.
+    Only epochs committed when the job starts are read. The log entry, written after the rows,
+    is the commit: readers show neither the rollups before it nor the rolled hours after it, so
+    a stop at any point shows each hour once. A new run, of whatever month, begins by removing
+    what an unfinished one left. Returns the number of the run.
     """
     cutoff = first_of_month(as_of)
     month, run = cutoff.strftime("%Y-%m"), cutoff.year * 100 + cutoff.month
     log = f"{root}/{ROLLOVER_LOG}/run={run}"
-    if not paths.is_complete(spark, log):
-        # From here on readers trust the log, so a first rollover is not seen half-written.
-        paths.make_folder(spark, f"{root}/{ROLLOVER_LOG}")
-        _drop_unfinished(spark, root, finished_rollovers(spark, root))
-        last = last_committed(spark, root)
-
-        def pinned(table: str) -> DataFrame:
-            # Whole months by partition, so that nothing of the current month is read.
-            return read_deltas(spark, root, table).filter((F.col("month") < month) & up_to(last))
-
-        tables = rollover_tables(pinned("resolver_hourly_stats"),
-                                 pinned("client_hourly_stats"), cutoff)
-        for table, rows in tables.items():
-            write_delta(rows, root, table, run)
-        (spark.createDataFrame(list(last.items()), "stream string, last_epoch long")
-         .coalesce(1).write.mode("overwrite").parquet(log))
-    _drop_months(spark, root, month, rolled_epochs(spark, root, run))
+    if paths.is_complete(spark, log):
+        return run
+    # From here on readers trust the log, so a first rollover is not seen half-written.
+    paths.make_folder(spark, f"{root}/{ROLLOVER_LOG}")
+    _drop_unfinished(spark, root, finished_rollovers(spark, root))
+    last = last_committed(spark, root)
+
+    def pinned(table: str) -> DataFrame:
+        # Whole months by partition, so that nothing of the current month is read.
+        return read_deltas(spark, root, table).filter((F.col("month") < month) & up_to(last))
+
+    tables = rollover_tables(pinned("resolver_hourly_stats"), pinned("client_hourly_stats"),
+                             cutoff)
+    for table, rows in tables.items():
+        write_delta(rows, root, table, run)
+    (spark.createDataFrame(list(last.items()), "stream string, last_epoch long")
+     .coalesce(1).write.mode("overwrite").parquet(log))
+    return run
+
+
+def month_rollover(spark: SparkSession, root: str, as_of: datetime) -> None:
+    """Roll up all hours before the month of ``as_of`` and drop them; safe to run again.
+
+    Hours arriving later for an old month are added by the next rollover.
+    """
+    run = roll_up(spark, root, as_of)
+    _drop_months(spark, root, first_of_month(as_of).strftime("%Y-%m"),
+                 rolled_epochs(spark, root, run))
 
 
 def purge_detail(spark: SparkSession, root: str, cutoff: datetime) -> None:

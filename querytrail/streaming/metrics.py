@@ -1,70 +1,107 @@
-"""Minute metrics and ten-minute batches from a stream of events."""
+"""Minute metrics and ten-minute batches from a stream of events.
+
+Counters are sums, so each micro-batch adds rows of its own to a stored cube and nothing waits
+for a watermark: an event counts however late it comes, and the last minutes are there at once.
+Minutes, top lists and batches are read from the cube.
+"""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querytrail.functions.events import is_present
 from querytrail.operators.batches import assemble_batches
-from querytrail.operators.metrics import (TOP_K, agg_client_domain_minute, agg_client_minute,
-                                          agg_resolver_minute, event_counters, top_domains)
+from querytrail.operators.metrics import TOP_K, event_cube, sum_counters, top_domains
+from querytrail.schemas import COUNTERS_LATENCY
 from querytrail.sources.codec import encode_batches
+from querytrail.sources.facts import up_to
+from querytrail.sources.paths import exists, is_complete, subfolders
 
-DELAY = "2 minutes"
+_KEYS = ["minute_timestamp", "resolver_id", "client_hash", "category", "domain"]
+_SCHEMA = ("minute_timestamp timestamp, resolver_id string, client_hash string, "
+           "category string, domain string, "
+           + ", ".join(f"{c} long" for c in COUNTERS_LATENCY)
+           + ", stream string, epoch long")
 
 
-def stream_resolver_minutes(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Append-mode minutes, each sent once its window has passed the watermark."""
-    return agg_resolver_minute(events.withWatermark("ts", delay))
+def write_cube(events: DataFrame, path: str, checkpoint: str):
+    """Stream writer of (prepared) events to the cube: one folder per micro-batch, replaced when
+    the micro-batch is done again."""
+    def add(rows: DataFrame, epoch: int) -> None:
+        stream = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if not stream:
+            raise RuntimeError("no streaming query runs here")
+        (event_cube(rows).select(*_KEYS, *COUNTERS_LATENCY)
+         .write.mode("overwrite").parquet(f"{path}/stream={stream}/epoch={epoch}"))
 
+    return events.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
 
-def stream_client_minutes(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    return agg_client_minute(events.withWatermark("ts", delay))
 
+def read_cube(spark: SparkSession, path: str) -> DataFrame:
+    """The cube's rows as stored, several per key where several micro-batches touched it."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], _SCHEMA)
+    return spark.read.schema(_SCHEMA).parquet(path)
 
-def stream_domain_minutes(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    return agg_client_domain_minute(events.withWatermark("ts", delay))
 
+def resolver_minutes(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("minute_timestamp").agg(*sum_counters(COUNTERS_LATENCY))
 
-def write_top_domains(domain_minutes: DataFrame, path: str, checkpoint: str, k: int = TOP_K):
-    """Rank closed minutes in each micro-batch; a stream itself allows no ranking.
 
-    All rows of a minute close together, so a micro-batch holds whole minutes.
-    """
-    def rank(rows: DataFrame, epoch: int) -> None:
-        (top_domains(rows, k).write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
+def client_minutes(cube: DataFrame) -> DataFrame:
+    return cube.groupBy("minute_timestamp", "client_hash").agg(*sum_counters(COUNTERS_LATENCY))
 
-    return (domain_minutes.writeStream.outputMode("append").foreachBatch(rank)
-            .option("checkpointLocation", checkpoint))
 
+def client_top_domains(cube: DataFrame, k: int = TOP_K) -> DataFrame:
+    domains = (cube.filter(is_present(F.col("domain")))
+               .groupBy("minute_timestamp", "client_hash", "domain")
+               .agg(*sum_counters(["total_queries", "blocked_queries"])))
+    return top_domains(domains, k)
 
-def stream_batch_cube(events: DataFrame, delay: str = DELAY) -> DataFrame:
-    """The event cube, held back until the ten minutes it belongs to have closed.
 
-    One flat stateful sum: no nested lists in the state, and all rows of a batch come out
-    in the same micro-batch.
-    """
-    return (events.withWatermark("ts", delay)
-            .groupBy(F.window("ts", "10 minutes").alias("w"),
-                     F.date_trunc("minute", F.col("ts")).alias("minute_timestamp"),
-                     "resolver_id", "client_hash", "category", "domain")
-            .agg(*event_counters()).drop("w"))
+def _numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    return sorted(int(n.removeprefix(prefix)) for n in subfolders(spark, path)
+                  if n.startswith(prefix) and is_complete(spark, f"{path}/{n}"))
+
+
+def _taken(spark: SparkSession, path: str, runs: list[int]) -> dict[str, int]:
+    """The newest epoch of each stream that the runs have taken."""
+    if not runs:
+        return {}
+    rows = (spark.read.parquet(*[f"{path}/taken/run={n}" for n in runs[-1:]])
+            .groupBy("stream").agg(F.max("last_epoch").alias("n")).collect())
+    return {r["stream"]: r["n"] for r in rows}
 
 
-def write_encoded_batches(cube: DataFrame, path: str, checkpoint: str,
-                          k: int = TOP_K):
-    """Nest and encode closed batches; one folder per micro-batch, replaced on a retry.
+def publish_batches(spark: SparkSession, cube_path: str, path: str, k: int = TOP_K) -> str | None:
+    """Nest and encode what the cube has received since the last call, as run N of batches.
 
+    What a run takes is written down before its batches, so a run that stopped is done again
+    with the very same rows. Rows of ten minutes that an earlier run has sent come in a
+    correction batch with an id of its own (``-rN``): merging adds them up. Top lists of a
+    correction rank its own rows. Returns the folder of the run, or None if nothing is new.
     """
-    def encode(rows: DataFrame, epoch: int) -> None:
-        # Nesting reads the rows three times; the state must be read once.
-        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            (encode_batches(assemble_batches(rows, k))
-             .write.mode("overwrite").parquet(f"{path}/epoch={epoch}"))
-        finally:
-            rows.unpersist()
-
-    return (cube.writeStream.outputMode("append").foreachBatch(encode)
-            .option("checkpointLocation", checkpoint))
+    runs = _numbers(spark, f"{path}/taken", "run=")
+    sent = _numbers(spark, f"{path}/batches", "run=")
+    if runs and runs[-1] not in sent:
+        n, before = runs[-1], runs[:-1]
+    else:
+        n, before = (runs[-1] + 1 if runs else 0), runs
+        last = {}
+        for name in subfolders(spark, cube_path):
+            epochs = _numbers(spark, f"{cube_path}/{name}", "epoch=")
+            if epochs:
+                last[name.removeprefix("stream=")] = epochs[-1]
+        if last == _taken(spark, path, before):
+            return None
+        (spark.createDataFrame(list(last.items()), "stream string, last_epoch long")
+         .coalesce(1).write.mode("overwrite").parquet(f"{path}/taken/run={n}"))
+    old, now = _taken(spark, path, before), _taken(spark, path, [n])
+    rows = read_cube(spark, cube_path).filter(up_to(now) & ~up_to(old)).drop("stream", "epoch")
+    nested = assemble_batches(rows, k)
+    if n:
+        nested = nested.withColumn("batch_id", F.concat("batch_id", F.lit(f"-r{n}")))
+    out = f"{path}/batches/run={n}"
+    encode_batches(nested).write.mode("overwrite").parquet(out)
+    return out

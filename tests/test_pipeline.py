@@ -199,25 +199,32 @@ def land_events(spark, path, rows, stamp):
             os.utime(full, (stamp, stamp))
 
 
-def test_minute_stream_equals_batch_on_closed_windows(spark, events, tmp_path):
-    """The last of three files holds one row too late for its window, which is dropped."""
+def test_no_event_is_too_late(spark, events, tmp_path):
+    """Three files in any order of time; the batches of two runs add up to all events."""
     rows = sorted(some_events(), key=lambda r: r[1])
-    too_late = (9999, START - timedelta(hours=3), *rows[0][2:])
-    landing = str(tmp_path / "in")
-    land_events(spark, landing, rows[:200], 1_000_000)
-    land_events(spark, landing, rows[200:300], 1_010_000)
-    land_events(spark, landing, [*rows[300:], too_late], 1_020_000)
-    raw = (spark.readStream.schema(DNS_QUERY_EVENTS).option("maxFilesPerTrigger", 1)
-           .parquet(landing))
-    minutes = stream.stream_client_minutes(metrics.prepare_events(raw, "test"))
-    (minutes.writeStream.outputMode("append").format("parquet")
-     .option("checkpointLocation", str(tmp_path / "ckpt")).option("path", str(tmp_path / "out"))
-     .trigger(availableNow=True).start().awaitTermination())
-    got = spark.read.schema(minutes.schema).parquet(str(tmp_path / "out"))
-    closed = (rows[-1][1] - timedelta(minutes=2)).isoformat(sep=" ")
-    batch = metrics.agg_client_minute(events).filter(
-        F.col("minute_timestamp") + F.expr("interval 1 minute") <= F.lit(closed).cast("timestamp"))
-    assert rows_of(got) == rows_of(batch)
+    landing, cube, out = (str(tmp_path / n) for n in ("in", "cube", "out"))
+    land_events(spark, landing, rows[200:], 1_000_000)
+    land_events(spark, landing, rows[:100], 1_010_000)
+
+    def take():
+        raw = (spark.readStream.schema(DNS_QUERY_EVENTS).option("maxFilesPerTrigger", 1)
+               .parquet(landing))
+        (stream.write_cube(metrics.prepare_events(raw, "test"), cube, str(tmp_path / "ckpt"))
+         .trigger(availableNow=True).start().awaitTermination())
+
+    take()
+    assert stream.publish_batches(spark, cube, out)
+    assert stream.publish_batches(spark, cube, out) is None
+    land_events(spark, landing, rows[100:200], 1_020_000)
+    take()
+    assert stream.publish_batches(spark, cube, out).endswith("run=1")
+    want = rows_of(metrics.agg_client_minute(events))
+    assert rows_of(stream.client_minutes(stream.read_cube(spark, cube))) == want
+    sent = codec.good_batches(codec.decode_batches(messages.read_batch_files(
+        spark, f"{out}/batches")))
+    assert rows_of(stream.client_minutes(batches.flatten_clients(sent))) == want
+    ids = [r["batch_id"] for r in sent.select("batch_id").collect()]
+    assert len(ids) == len(set(ids))
 
 
 def test_dedup_stream_drops_repeats(spark, nested, tmp_path):
