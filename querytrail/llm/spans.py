@@ -117,10 +117,20 @@ def _level(steps: list[int], k: int):
 
 
 def _repeated(rows: DataFrame, key: list[str], later_only: bool) -> DataFrame:
-    """Rows whose key occurs in several documents; with ``later_only`` those with a smaller one."""
+    """Rows whose key occurs in several documents; with ``later_only`` those with a smaller one.
+
+    The key is turned over for the join, so that both sides are dealt anew: Spark splits a skewed
+    partition only where it comes straight from a shuffle, not from an aggregation.
+    """
+    def turned(c: str) -> F.Column:
+        column = F.reverse(c) if dict(rows.dtypes)[c] == "string" else F.bitwise_not(F.col(c))
+        return column.alias(f"turned_{c}")
+
     ends = (rows.groupBy(*key).agg(F.min("doc").alias("first"), F.max("doc").alias("last"))
             .where(F.col("first") < F.col("last")))
-    joined = rows.join(ends, key)
+    ends = ends.select("first", "last", *[turned(c) for c in key])
+    joined = rows.select(*[c for c in rows.columns if c not in key],
+                         *[turned(c) for c in key]).join(ends, [f"turned_{c}" for c in key])
     return joined.where(F.col("doc") > F.col("first")) if later_only else joined
 
 
