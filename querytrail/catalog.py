@@ -531,14 +531,15 @@ def _rule_action(matched: DataFrame) -> DataFrame:
 
 @query
 def match_rules(spark, sf):
-    return _rule_action(matching.match_rules(_domains(spark, sf), fx.domain_rules(spark, sf)))
+    return _rule_action(matching.match_rules(_domains(spark, sf), fx.domain_rules(spark, sf),
+                                             way="lookup"))
 
 
 @query
 def match_rules_shuffled(spark, sf):
-    """The way for rule tables too big to broadcast."""
+    """Each distinct domain is decided once."""
     return _rule_action(matching.match_rules(_domains(spark, sf), fx.domain_rules(spark, sf),
-                                             max_broadcast_rows=0))
+                                             way="distinct"))
 
 
 @query
@@ -557,7 +558,7 @@ def _decide_events(spark: SparkSession, sf: str, mode: str = "compat", **options
 
 @query
 def policy_decision(spark, sf):
-    return _decide_events(spark, sf)
+    return _decide_events(spark, sf, way="lookup")
 
 
 @query
@@ -567,7 +568,7 @@ def policy_decision_strict(spark, sf):
 
 @query
 def policy_decision_shuffled(spark, sf):
-    return _decide_events(spark, sf, max_broadcast_rows=0)
+    return _decide_events(spark, sf, way="distinct")
 
 
 @query
@@ -661,6 +662,44 @@ def upsert_overrides(spark, sf):
     return rules.upsert_overrides(_overrides(spark, sf), changes)
 
 
+@query
+def create_overrides(spark, sf):
+    """Hosts of the pages become records beside those of even length; a third has no address,
+    some no domain."""
+    i = F.col("page_id")
+    hosts = _pages(spark, sf).groupBy("domain").agg(F.min("page_id").alias("page_id"))
+    known = hosts.filter(F.length("domain") % 2 == 0).select(
+        i.alias("id"), "domain", F.lit("A").alias("record_type"),
+        F.lit("192.0.2.1").alias("ip_address"), F.lit(60).alias("ttl"),
+        F.lit("old").alias("description"))
+    new = _pages(spark, sf).select(
+        (i + 1).alias("seq"), F.when(i % 11 == 0, " \t").otherwise(F.col("domain")).alias("domain"),
+        F.when(i % 2 == 0, "AAAA").alias("record_type"),
+        F.when(i % 3 != 0, F.concat(F.lit("192.0.2."), (i % 256).cast("string")))
+        .alias("ip_address"),
+        F.lit(None).cast("int").alias("ttl"), F.lit("new").alias("description"))
+    return rules.create_overrides(known, new)
+
+
+@query
+def lookup_by_domain(spark, sf):
+    """Rule, entry and override rows of one host."""
+    name = " Example.NET\t"
+    return reduce(DataFrame.unionByName, [
+        rules.rows_of_domain(rows, name).select(F.lit(kind).alias("kind"), "domain")
+        for kind, rows in [("rule", fx.domain_rules(spark, sf)), ("entry", _entries(spark, sf)),
+                           ("override", _overrides(spark, sf))]])
+
+
+@query
+def delete_rules_from_list(spark, sf):
+    """The blocked set after some domains lost their rule and their list entry."""
+    gone = _domains(spark, sf).filter(F.length("domain") % 5 == 0).select(
+        F.concat(F.lit("\t"), F.upper("domain"), F.lit("\r")).alias("domain"))
+    return matching.blocked_set(*rules.delete_rules_and_entries(
+        fx.domain_rules(spark, sf), _entries(spark, sf), gone))
+
+
 @query
 def delete_overrides(spark, sf):
     records = _overrides(spark, sf)

@@ -16,10 +16,8 @@ from querytrail.functions.domains import (domain_suffixes, has_empty_label, labe
                                           normalize_domain, suffix_count,
                                           strip)
 
-MAX_BROADCAST_ROWS = 1_000_000
-MAX_BROADCAST_CHARS = 64 * 1024 * 1024
-MAX_LOOKUP_DEPTHS = 12
 SALTS = 16
+WAYS = ("lookup", "distinct")
 
 
 def active_rules(rules: DataFrame, as_of: Column | None = None) -> DataFrame:
@@ -78,14 +76,10 @@ def policy_table(rules: DataFrame | None, blocked: DataFrame | None,
             .withColumn("labels", label_count(F.col("rule_domain"))))
 
 
-def _broadcast_depths(table: DataFrame, max_rows: int) -> list[int] | None:
-    """Label counts in the table when it is small enough to broadcast, else None."""
-    row = table.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("rule_domain")).alias("chars"),
-                    F.collect_set("labels").alias("depths")).first()
-    if (row["n"] > max_rows or (row["chars"] or 0) > MAX_BROADCAST_CHARS
-            or len(row["depths"]) > MAX_LOOKUP_DEPTHS):
-        return None
-    return sorted(row["depths"], reverse=True)
+def _label_counts(table: DataFrame) -> list[int]:
+    """Label counts that occur in the table, largest first: a few numbers at any size."""
+    return sorted((r["labels"] for r in table.select("labels").distinct().collect()),
+                  reverse=True)
 
 
 _TABLE = ["rule_domain", "rule_block", "rule_subdomains", "listed"]
@@ -96,22 +90,23 @@ def _with_decision(df: DataFrame) -> DataFrame:
     return df.withColumn("blocked", F.coalesce("rule_block", "listed_parent"))
 
 
-def _decide_broadcast(df: DataFrame, domain: str, table: DataFrame,
-                      depths: list[int]) -> DataFrame:
-    """One lookup per label count, most specific first; the rows never move.
+def _decide_lookup(df: DataFrame, domain: str, table: DataFrame, depths: list[int]) -> DataFrame:
+    """One left join per label count, most specific first.
 
-    All lookups have the same build side, which is therefore broadcast once.
+    Each joins the table's rows of that label count alone. Whether Spark sends them whole or
+    shuffles follows from their size, which changes the plan and never the result.
     """
     keep, name = df.columns, F.col("__name")
     out = (df.withColumn("__name", normalize_domain(F.col(domain)))
            .withColumn("__n", label_count(name))
            .withColumn("__stop", F.when(has_empty_label(name), suffix_count(name))))
     for labels in depths:
-        side = table.select(*[F.col(c).alias(f"__{c}{labels}") for c in _TABLE])
+        side = table.filter(F.col("labels") == labels).select(
+            *[F.col(c).alias(f"__{c}{labels}") for c in _TABLE])
         visited = (F.col("__n") >= labels) & (
             F.col("__stop").isNull() | (F.col("__n") - F.lit(labels) < F.col("__stop")))
         key = F.when(visited, F.substring_index(name, ".", -labels))
-        out = out.join(F.broadcast(side), key == F.col(f"__rule_domain{labels}"), "left")
+        out = out.join(side, key == F.col(f"__rule_domain{labels}"), "left")
 
     def applies(labels: int) -> Column:
         return F.col(f"__rule_block{labels}").isNotNull() & (
@@ -132,22 +127,24 @@ def salted_lookup(left: DataFrame, right: DataFrame, keys: list[str], spread: li
                   how: str = "left", salts: int = SALTS) -> DataFrame:
     """Shuffle join to a side that is unique by ``keys``, spreading every key over ``salts``.
 
-    For keys that may hold a large share of the left rows, where the right side is too big
-    to broadcast. The right side is repeated once per salt.
+    For keys that may hold a large share of the left rows. The right side is repeated once per
+    salt.
     """
     salted = left.withColumn("__salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
-def _decide_shuffled(df: DataFrame, domain: str, table: DataFrame, spread: list[str],
-                     salts: int) -> DataFrame:
-    """For tables too big to broadcast: decide each distinct domain once, then join back."""
+def _decide_distinct(df: DataFrame, domain: str, table: DataFrame, depths: list[int],
+                     spread: list[str], salts: int) -> DataFrame:
+    """Decide each distinct domain once, then join back; suffixes that no rule can have are
+    left out before they are shuffled."""
     keep = df.columns
     names = df.select(normalize_domain(F.col(domain)).alias("__name"))
     suffixes = (names.filter(F.col("__name").isNotNull()).distinct()
                 .select("__name", F.explode(domain_suffixes(F.col("__name"))).alias("s"))
-                .select("__name", "s.depth", F.col("s.suffix").alias("rule_domain")))
+                .select("__name", "s.depth", F.col("s.suffix").alias("rule_domain"))
+                .filter((label_count(F.col("__name")) - F.col("depth")).isin(depths)))
     hits = salted_lookup(suffixes, table.drop("labels"), ["rule_domain"], ["__name"],
                          "inner", salts)
     applies = F.col("rule_block").isNotNull() & (
@@ -164,20 +161,25 @@ def _decide_shuffled(df: DataFrame, domain: str, table: DataFrame, spread: list[
 
 def policy_decision(df: DataFrame, rules: DataFrame | None, blocked: DataFrame | None,
                     domain: str = "domain", as_of: Column | None = None,
-                    spread: list[str] | None = None,
-                    max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+                    spread: list[str] | None = None, way: str | None = None,
                     salts: int = SALTS) -> DataFrame:
     """Add ``rule_domain``, ``rule_block``, ``listed_parent`` and ``blocked`` to every row.
 
-    The policy table is measured first: within the bounds it is broadcast and ``df`` (which
-    may be a stream) is not shuffled; beyond them the distinct domains are matched by
-    salted shuffle joins. ``spread`` names columns that differ within one domain.
+    ``way="lookup"`` joins the rows to the policy table once per label count; it is the only way
+    for a stream. ``way="distinct"`` decides each distinct domain once and joins back by salted
+    joins, over the columns ``spread``, which should differ within one domain. Without ``way`` a
+    stream takes the first, other rows the second; sizes never decide.
     """
+    way = way or ("lookup" if df.isStreaming else "distinct")
+    if way not in WAYS:
+        raise ValueError(f"way is one of {WAYS}, not {way}")
+    if way == "distinct" and df.isStreaming:
+        raise ValueError("a stream needs way='lookup'")
     table = policy_table(rules, blocked, as_of)
-    depths = _broadcast_depths(table, max_broadcast_rows)
-    if depths is not None:
-        return _decide_broadcast(df, domain, table, depths)
-    return _decide_shuffled(df, domain, table, spread or df.columns, salts)
+    depths = _label_counts(table)
+    if way == "lookup":
+        return _decide_lookup(df, domain, table, depths)
+    return _decide_distinct(df, domain, table, depths, spread or df.columns, salts)
 
 
 def match_rules(domains: DataFrame, rules: DataFrame, **options) -> DataFrame:

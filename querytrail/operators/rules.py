@@ -22,6 +22,7 @@ API_REASON = "Admin rule entry"
 BATCH_REASON = "Batch imported CSV rule"
 CSV_REASON = {"ALLOW": "Whitelist import", "BLOCK": "CSV bulk import rule"}
 ENTRY_CATEGORY = "MALWARE"
+OVERRIDE_DEFAULTS = {"record_type": "A", "ip_address": "127.0.0.1", "ttl": 300}
 
 
 def normalize_rules_api(requests: DataFrame, batch: bool = True) -> DataFrame:
@@ -103,6 +104,18 @@ def delete_by_domain(rows: DataFrame, domains: DataFrame) -> DataFrame:
     return rows.join(gone, "domain", "left_anti")
 
 
+def delete_rules_and_entries(rules: DataFrame, entries: DataFrame,
+                             domains: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rules and plain list entries without the given domains, so that the blocked set built
+    from both no longer holds them."""
+    return delete_by_domain(rules, domains), delete_by_domain(entries, domains)
+
+
+def rows_of_domain(rows: DataFrame, domain: str) -> DataFrame:
+    """Rules, entries or overrides of one domain (case and blanks aside)."""
+    return rows.filter(F.lower(strip(F.col("domain"))) == F.lower(strip(F.lit(domain))))
+
+
 def upsert_blocked_entries(existing: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
     """Add plain list entries; a known domain takes the new category."""
     cleaned = new.filter(is_present(strip(F.col("domain")))).select(
@@ -114,6 +127,24 @@ def upsert_blocked_entries(existing: DataFrame, new: DataFrame, order: str = "se
     return last_per_key(rows.unionByName(cleaned), "domain", "__order")
 
 
+def create_overrides(existing: DataFrame, new: DataFrame, order: str = "seq") -> DataFrame:
+    """Add override records; those without a domain are refused, null fields get defaults.
+
+    A domain has one record: of new rows for one domain the first by ``order`` is taken, and none
+    where a record exists. The id is the greatest one so far plus ``order``, which counts from 1.
+    """
+    fields = [c for c in OVERRIDE_RECORDS.names if c not in ("id", "domain")]
+    filled = [F.coalesce(c, F.lit(OVERRIDE_DEFAULTS[c])).alias(c) if c in OVERRIDE_DEFAULTS
+              else F.col(c) for c in fields]
+    given = (new.filter(is_present(strip(F.col("domain"))))
+             .select("domain", *filled, (-F.col(order)).alias("__order"))
+             .join(existing.select("domain"), "domain", "left_anti"))
+    first = last_per_key(given.withColumn("__id", -F.col("__order")), "domain", "__order")
+    last = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    added = first.select((last + F.col("__id")).cast("long").alias("id"), "domain", *fields)
+    return existing.select("id", "domain", *fields).unionByName(added)
+
+
 def upsert_overrides(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """Change known override records by id; null fields leave the old value."""
     new = changes.select("id", *[F.col(c).alias(f"new_{c}")

@@ -306,8 +306,6 @@ def _pipeline() -> str:
     return f"WITH {_PE}, {_DM} " + " UNION ALL ".join(parts)
 
 
-# A window is closed once it ends at or before the latest event less two minutes.
-
 _KEPT = f"date_trunc('month', hour_timestamp) >= {_Y2K}"
 
 ORACLES: dict[str, str] = {
@@ -486,6 +484,25 @@ SELECT id, CASE WHEN c AND id % 3 <> 0 THEN 'new.' || d ELSE d END AS domain,
   '192.0.2.' || (id % 256) AS ip_address,
   CAST(CASE WHEN c AND id % 3 <> 2 THEN 60 ELSE 300 END AS INTEGER) AS ttl,
   CASE WHEN c THEN 'changed' END AS description FROM o""",
+    "create_overrides": f"""WITH p AS (SELECT page_id, {_HOST} AS domain FROM pages),
+known AS (SELECT min(page_id) AS id, domain FROM p WHERE length(domain) % 2 = 0 GROUP BY domain),
+fresh AS (SELECT min(page_id) AS i, domain FROM p WHERE page_id % 11 <> 0
+          AND domain NOT IN (SELECT domain FROM known) GROUP BY domain)
+SELECT id, domain, 'A' AS record_type, '192.0.2.1' AS ip_address, CAST(60 AS INTEGER) AS ttl,
+  'old' AS description FROM known
+UNION ALL SELECT (SELECT max(id) FROM known) + i + 1, domain,
+  CASE WHEN i % 2 = 0 THEN 'AAAA' ELSE 'A' END,
+  CASE WHEN i % 3 <> 0 THEN '192.0.2.' || (i % 256) ELSE '127.0.0.1' END, 300, 'new' FROM fresh""",
+    "lookup_by_domain": f"""WITH {_RULES}, {_DOMAINS}, {_ENTRIES}
+SELECT 'rule' AS kind, domain FROM rules WHERE domain = 'example.net'
+UNION ALL SELECT 'entry', domain FROM entries WHERE domain = 'example.net'
+UNION ALL SELECT 'override', {_HOST} FROM pages WHERE {_HOST} = 'example.net'""",
+    "delete_rules_from_list": f"""WITH {_RULES}, {_DOMAINS}, {_ENTRIES},
+gone AS (SELECT domain FROM domains WHERE length(domain) % 5 = 0),
+names AS (SELECT domain FROM rules WHERE status = 'ACTIVE' AND action = 'BLOCK'
+          UNION SELECT domain FROM entries)
+SELECT domain FROM names WHERE domain NOT IN (SELECT domain FROM gone)
+AND domain NOT IN (SELECT domain FROM rules WHERE status = 'ACTIVE' AND action <> 'BLOCK')""",
     "delete_overrides": f"""SELECT page_id AS id, {_HOST} AS domain, 'A' AS record_type,
 '192.0.2.' || (page_id % 256) AS ip_address, CAST(300 AS INTEGER) AS ttl,
 CAST(NULL AS VARCHAR) AS description FROM pages WHERE page_id % 4 <> 1""",

@@ -38,7 +38,7 @@ def expected_set(rule_rows, entries, mode="compat"):
     return adds - {d for d, a, m in active if a != "BLOCK"}
 
 
-WAYS = [{}, {"max_broadcast_rows": 0, "salts": 3}]
+WAYS = [{"way": "lookup"}, {"way": "distinct", "salts": 3}]
 
 
 @pytest.mark.parametrize("options", WAYS)
@@ -104,27 +104,43 @@ def test_small_tables_do_not_shuffle_the_rows(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "rules"))
     frame = spark.read.parquet(str(tmp_path / "rules"))
     rows = spark.range(100).select(F.concat("id", F.lit(".x.test")).alias("domain"))
-    out = matching.policy_decision(rows, frame, matching.blocked_set(frame))
+    out = matching.policy_decision(rows, frame, matching.blocked_set(frame), way="lookup")
     assert out.filter("blocked").count() == 20
+    out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     stream_side = plan.split("Range (0, 100")[0].splitlines()[-1]
     assert "SortMergeJoin" not in plan and "Exchange" not in stream_side
 
 
-def test_too_many_depths_leave_the_broadcast_way(spark):
-    table = matching.policy_table(rule_frame(spark, [
-        (".".join("a" * n), "BLOCK", "EXACT", "ACTIVE") for n in range(1, 15)]), None)
-    assert matching._broadcast_depths(table, 100) is None
-    assert matching._broadcast_depths(table.filter("labels < 4"), 100) == [3, 2, 1]
-    assert matching._broadcast_depths(table.filter("labels < 4"), 2) is None
+def test_rules_of_many_depths(spark):
+    """Names of 1 to 30 labels, each with a rule of its own, by both ways."""
+    names = [".".join("a" * n) for n in range(1, 31)]
+    frame = rule_frame(spark, [(n, "BLOCK" if i % 2 else "ALLOW", "EXACT", "ACTIVE")
+                               for i, n in enumerate(names)])
+    rows = spark.createDataFrame([(n,) for n in names], "domain string")
+    for options in WAYS:
+        got = matching.policy_decision(rows, frame, None, **options).collect()
+        assert {r["domain"]: r["blocked"] for r in got} == {
+            n: i % 2 == 1 for i, n in enumerate(names)}
+
+
+def test_way_of_a_stream(spark):
+    frame = rule_frame(spark, [("a.test", "BLOCK", "EXACT", "ACTIVE")])
+    stream = spark.readStream.format("rate").load().select(
+        F.col("value").cast("string").alias("domain"))
+    assert matching.policy_decision(stream, frame, None).isStreaming
+    with pytest.raises(ValueError, match="lookup"):
+        matching.policy_decision(stream, frame, None, way="distinct")
+    with pytest.raises(ValueError):
+        matching.policy_decision(stream, frame, None, way="other")
 
 
 def test_hot_domain_is_spread(spark):
-    """A third of the rows under one name, in the shuffled way, lands in many partitions."""
+    """A third of the rows under one name, by the distinct way, lands in many partitions."""
     rows = spark.range(30000).select("id", F.when(F.col("id") % 3 == 0, "hot.test").otherwise(
         F.concat("id", F.lit(".cold.test"))).alias("domain"))
     frame = rule_frame(spark, [("hot.test", "BLOCK", "EXACT", "ACTIVE")])
-    out = matching.policy_decision(rows, frame, None, spread=["id"], max_broadcast_rows=0)
+    out = matching.policy_decision(rows, frame, None, spread=["id"], way="distinct")
     assert out.filter("blocked").count() == 10000
     salted = matching.salted_lookup(
         rows, spark.createDataFrame([("hot.test", 1)], "domain string, v int"), ["domain"],
