@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from querytrail import fixtures as fx
 from querytrail import functions as fn
 from querytrail.operators import batches, matching, merge, metrics, rollups, rules
-from querytrail.plans import facts, reports, retention
+from querytrail.plans import compaction, facts, reports, retention
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, DNS_BATCH
 from querytrail.session import scratch_dir, ship_package
 from querytrail.sources import codec, lists, messages
@@ -976,6 +976,35 @@ def tiered_summary_during_removal(spark, sf):
     return _round_latency(retention.tiered_summary(spark, root))
 
 
+@query
+def purge_detail(spark, sf):
+    """Category hours in a fact root after whole months were dropped."""
+    root = scratch_dir(spark, "facts")
+    write_delta(fx.category_hourly(spark, sf), root, "client_category_hourly", 0)
+    retention.purge_detail(spark, root, YEAR_2000)
+    return read_facts(spark, root, "client_category_hourly").drop("month")
+
+
+def _compacted_root(spark: SparkSession, sf: str) -> str:
+    """Batches merged in two epochs and compacted; then all are sent again."""
+    nested, root = _stored_batches(spark, sf), scratch_dir(spark, "facts")
+    for side in (0, 1):
+        sink.apply_batches(nested.filter(F.crc32("batch_id") % 2 == side), side, root)
+    compaction.compact_months(spark, root, datetime(2024, 2, 1))
+    sink.apply_batches(nested, 2, root)
+    return root
+
+
+@query
+def compact_months(spark, sf):
+    return read_facts(spark, _compacted_root(spark, sf), "client_hourly_stats").drop("month")
+
+
+@query
+def compact_months_domain(spark, sf):
+    return read_facts(spark, _compacted_root(spark, sf), "client_top_domains_hourly").drop("month")
+
+
 # --- streaming -------------------------------------------------------------------------
 
 def _streamed_cube(spark: SparkSession, sf: str) -> str:
@@ -1065,6 +1094,18 @@ def dedup_batches(spark, sf):
     return read_facts(spark, root, "client_hourly_stats").drop("month")
 
 
+@query
+def dedup_stream(spark, sf):
+    """Client minutes of a stream in which every batch comes twice."""
+    nested = _stored_batches(spark, sf)
+    landed, out = scratch_dir(spark, "landed"), scratch_dir(spark, "once")
+    nested.unionByName(nested).write.parquet(landed)
+    once = sink.dedup_stream(spark.readStream.schema(DNS_BATCH).parquet(landed))
+    _await(once.drop("batch_time").writeStream.format("parquet").option("path", out)
+           .option("checkpointLocation", scratch_dir(spark, "ckpt")))
+    return batches.flatten_clients(spark.read.schema(DNS_BATCH).parquet(out))
+
+
 @query
 def late_data(spark, sf):
     """Batches of the second half of the month come first, older ones weeks late."""

@@ -605,6 +605,11 @@ client_hash, {_S7} FROM fb WHERE hour_timestamp < {_Y2K} GROUP BY 1, 2""",
 WHERE {_KEPT} GROUP BY 1""",
     "purge_before": f"""WITH {_FB0} SELECT hour_timestamp, client_hash, category, {_S2} FROM fb
 WHERE hour_timestamp >= {_Y2K} GROUP BY ALL""",
+    "purge_detail": f"""WITH {_FB0} SELECT hour_timestamp, client_hash, category, {_S2} FROM fb
+WHERE hour_timestamp >= {_Y2K} GROUP BY ALL""",
+    "compact_months": _HOUR_CLIENT,
+    "compact_months_domain":
+        f"WITH {_PE}, {_DM} " + _hour_domains("dm", f"m, {_BATCH_ID}"),
     "tiered_summary": f"""WITH {_FB0} SELECT strftime(hour_timestamp, '%Y-%m') AS year_month,
 {_S8}, {_SAVG} FROM fb GROUP BY 1""",
     "tiered_summary_during_removal": f"""WITH {_FB0} SELECT strftime(hour_timestamp, '%Y-%m') AS year_month,
@@ -626,6 +631,7 @@ x AS (SELECT m, {_CNT}, {_LAT} FROM pe GROUP BY m)
 SELECT span.m AS minute_timestamp, """ + ", ".join(
         f"coalesce({c}, 0) AS {c}" for c in [*_C7, "total_latency_ms"])
     + " FROM span LEFT JOIN x ON x.m = span.m",
+    "dedup_stream": f"WITH {_PE} " + _CLIENT_MINUTES % "",
     "dedup_batches": _HOUR_CLIENT,
     "late_data": _HOUR_RESOLVER,
 }

@@ -11,8 +11,9 @@ from querytrail.operators import rollups
 from querytrail.operators.metrics import sum_counters
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY
 from querytrail.sources import paths
-from querytrail.sources.facts import (ROLLOVER_LOG, finished_rollovers, last_committed,
-                                      read_deltas, read_facts, rolled_epochs, up_to, write_delta)
+from querytrail.sources.facts import (ROLLOVER_LOG, drop_epochs, finished_rollovers,
+                                      last_committed, read_deltas, read_facts, rolled_epochs,
+                                      up_to, write_delta)
 
 HOURLY_TABLES = ["resolver_hourly_stats", "client_hourly_stats", "client_category_hourly",
                  "client_top_domains_hourly"]
@@ -51,15 +52,7 @@ def _drop_months(spark: SparkSession, root: str, month: str, rolled: dict[str, i
         for name in paths.subfolders(spark, base):
             if not (name.startswith("month=") and name.split("=")[1] < month):
                 continue
-            for stream, last in rolled.items():
-                folder = f"{base}/{name}/stream={stream}"
-                epochs = {e: int(e.split("=")[1]) for e in paths.subfolders(spark, folder)}
-                gone = [e for e, n in epochs.items() if n <= last]
-                if len(gone) == len(epochs):
-                    paths.delete(spark, folder)
-                else:
-                    for e in gone:
-                        paths.delete(spark, f"{folder}/{e}")
+            drop_epochs(spark, f"{base}/{name}", rolled)
 
 
 def _drop_unfinished(spark: SparkSession, root: str, finished: list[int]) -> None:

@@ -3,8 +3,9 @@
 Facts are additive, so an arriving micro-batch is written as rows of its own under
 ``<table>/month=yyyy-MM/stream=S/epoch=N`` and rows of one key are added up on reading. A write
 costs what the delta costs, whatever the size of the table, and writing an epoch again replaces
-it. Epochs count per stream: a query with a new checkpoint is a new stream. Day and month tables
-get one epoch per rollover, which is about a month, and no other level.
+it. Epochs count per stream: a query with a new checkpoint is a new stream. A compaction puts the
+rows of many epochs into one, of a stream of its own. Day and month tables get one epoch per
+rollover, which is about a month, and no other level.
 """
 
 from __future__ import annotations
@@ -17,13 +18,18 @@ from pyspark.sql import types as T
 
 from querytrail.operators.merge import merge_rows
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, FACT_KEYS
-from querytrail.sources.paths import delete, exists, is_complete, subfolders
+from querytrail.sources.paths import (delete, delete_all, delete_if_empty, exists, is_complete,
+                                      subfolders)
 
 LEDGER = "batch_ledger"
 COMMITS = "batch_commits"
 ROLLOVER_LOG = "rollover_log"
+COMPACTION_LOG = "compaction_log"
 #: The stream of batches that are merged without a streaming query.
 MAIN = "main"
+#: The stream whose epochs are compactions: epoch N is committed by log entry N.
+COMPACTED = "compacted"
+COMPACTION_ENTRY = "stream string, last_epoch long, months array<string>, days array<string>"
 _KEY_TYPES = {"hour_timestamp": T.TimestampType(), "date_timestamp": T.DateType()}
 _PAIR = ["total_queries", "blocked_queries"]
 _VALUES = {"client_category_hourly": _PAIR, "client_top_domains_hourly": _PAIR}
@@ -87,6 +93,9 @@ def last_committed(spark: SparkSession, root: str) -> dict[str, int]:
                 if is_complete(spark, f"{base}/{e}")]
         if done:
             out[name.split("=", 1)[1]] = max(done)
+    compactions = finished_compactions(spark, root)
+    if compactions:
+        out[COMPACTED] = compactions[-1]
     return out
 
 
@@ -97,13 +106,55 @@ def up_to(epochs: dict[str, int]) -> Column:
         for stream, epoch in epochs.items()], F.lit(False))
 
 
-def finished_rollovers(spark: SparkSession, root: str) -> list[int]:
-    """Numbers (yyyyMM) of the rollovers whose log entry is complete, oldest first."""
-    path = f"{root}/{ROLLOVER_LOG}"
+def _finished(spark: SparkSession, path: str) -> list[int]:
     return sorted(int(n.split("=")[1]) for n in subfolders(spark, path)
                   if n.startswith("run=") and is_complete(spark, f"{path}/{n}"))
 
 
+def finished_rollovers(spark: SparkSession, root: str) -> list[int]:
+    """Numbers (yyyyMM) of the rollovers whose log entry is complete, oldest first."""
+    return _finished(spark, f"{root}/{ROLLOVER_LOG}")
+
+
+def finished_compactions(spark: SparkSession, root: str) -> list[int]:
+    """Numbers of the compactions whose log entry is complete, oldest first."""
+    return _finished(spark, f"{root}/{COMPACTION_LOG}")
+
+
+def compaction_entry(spark: SparkSession, root: str, run: int
+                     ) -> tuple[dict[str, int], list[str], list[str]]:
+    """What a compaction has taken: the newest epoch of each stream, of which months and days."""
+    rows = (spark.read.schema(COMPACTION_ENTRY)
+            .parquet(f"{root}/{COMPACTION_LOG}/run={run}").collect())
+    return ({r["stream"]: r["last_epoch"] for r in rows},
+            rows[0]["months"] if rows else [], rows[0]["days"] if rows else [])
+
+
+def compacted_rows(spark: SparkSession, root: str) -> Column:
+    """Rows that are also in a finished compaction, removed yet or not."""
+    out = F.lit(False)
+    for run in finished_compactions(spark, root):
+        taken, months, _ = compaction_entry(spark, root, run)
+        out = out | (F.col("month").isin(months) & up_to(taken))
+    return out
+
+
+def drop_epochs(spark: SparkSession, folder: str, taken: dict[str, int]) -> None:
+    """Remove the epochs of a month or day up to the given one of their stream.
+
+    A stream's folder goes only if nothing is left in it, since its query may be writing there.
+    """
+    gone = []
+    for stream, last in taken.items():
+        base = f"{folder}/stream={stream}"
+        gone += [f"{base}/{e}" for e in subfolders(spark, base)
+                 if e.startswith("epoch=") and int(e.split("=")[1]) <= last]
+    delete_all(spark, gone)
+    for stream in taken:
+        delete_if_empty(spark, f"{folder}/stream={stream}")
+    delete_if_empty(spark, folder)
+
+
 def rolled_epochs(spark: SparkSession, root: str, run: int) -> dict[str, int]:
     """What a rollover has read: the newest epoch of each stream."""
     rows = spark.read.parquet(f"{root}/{ROLLOVER_LOG}/run={run}").collect()
@@ -114,8 +165,8 @@ def read_deltas(spark: SparkSession, root: str, table: str) -> DataFrame:
     """Stored rows as they are, several per key where several epochs touched it.
 
     Of hourly tables only committed epochs are shown, so all four tables agree while a
-    micro-batch is being merged, and no hours that a finished rollover has taken, removed yet
-    or not. Of day and month tables only finished rollovers are shown. Tables filled without a
+    micro-batch is being merged, and no hours that a finished rollover or compaction has taken,
+    removed yet or not. Of day and month tables only finished rollovers are shown. Tables filled without a
     ledger or a rollover are shown whole.
     """
     schema, path = stored_schema(table), f"{root}/{table}"
@@ -128,7 +179,8 @@ def read_deltas(spark: SparkSession, root: str, table: str) -> DataFrame:
             rows = rows.filter(F.col("epoch").isin(runs))
         return rows
     if exists(spark, f"{root}/{COMMITS}"):
-        rows = rows.filter(up_to(last_committed(spark, root)))
+        rows = rows.filter(up_to(last_committed(spark, root))
+                           & ~compacted_rows(spark, root))
     if runs:
         month = f"{runs[-1] // 100:04d}-{runs[-1] % 100:02d}"
         rows = rows.filter((F.col("month") >= month)

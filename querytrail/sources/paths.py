@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -35,3 +39,19 @@ def make_folder(spark: SparkSession, path: str) -> None:
 def delete(spark: SparkSession, path: str) -> None:
     fs, jpath = _fs(spark, path)
     fs.delete(jpath, True)
+
+
+def delete_all(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Delete folders, several at a time: each is a call to the file system and a wait."""
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(lambda p: delete(spark, p), paths))
+
+
+def delete_if_empty(spark: SparkSession, path: str) -> None:
+    """Delete a folder unless something is in it, or comes into it meanwhile."""
+    fs, jpath = _fs(spark, path)
+    if fs.exists(jpath) and not len(fs.listStatus(jpath)):
+        try:
+            fs.delete(jpath, False)
+        except Py4JJavaError:  # no longer empty
+            pass
