@@ -112,10 +112,10 @@ def quarantine_bad_batches(spark, sf):
 
 
 def _merged_root(spark: SparkSession, sf: str) -> str:
-    root = scratch_dir(spark, "facts")
-    landed = messages.read_batch_files(spark, _landed(spark, sf), stream=True,
-                                       maxFilesPerTrigger="4")
-    _await(sink.merge_encoded(landed, root, scratch_dir(spark, "ckpt")))
+    root, path = scratch_dir(spark, "facts"), scratch_dir(spark, "landed")
+    messages.write_nested_files(_batches(spark, sf), path)
+    landed = messages.read_nested_files(spark, path, stream=True, maxFilesPerTrigger="4")
+    _await(sink.merge_nested(landed, root, scratch_dir(spark, "ckpt")))
     return root
 
 
@@ -1032,9 +1032,8 @@ def stream_top_domains(spark, sf):
 def stream_10min_batches(spark, sf):
     """Client minutes of the batches that the stream has published."""
     path = scratch_dir(spark, "published")
-    out = stream.publish_batches(spark, _streamed_cube(spark, sf), path)
-    decoded = codec.decode_batches(messages.read_batch_files(spark, out))
-    return batches.flatten_clients(codec.good_batches(decoded))
+    out = stream.publish_batches(spark, _streamed_cube(spark, sf), path, encoded=False)
+    return batches.flatten_clients(messages.read_nested_files(spark, out))
 
 
 @query
@@ -1045,9 +1044,8 @@ def late_events(spark, sf):
     for part in (~late, late):
         events = fx.prepared_stream(spark, sf).filter(part)
         _await(stream.write_cube(events, cube, scratch_dir(spark, "ckpt")))
-        stream.publish_batches(spark, cube, path)
-    decoded = codec.decode_batches(messages.read_batch_files(spark, f"{path}/batches"))
-    rows = batches.flatten_clients(codec.good_batches(decoded))
+        stream.publish_batches(spark, cube, path, encoded=False)
+    rows = batches.flatten_clients(messages.read_nested_files(spark, f"{path}/batches"))
     return stream.client_minutes(rows)
 
 

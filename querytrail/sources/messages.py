@@ -1,10 +1,11 @@
-"""Where encoded batches come from and go to: Kafka, or files with the same two columns."""
+"""Where batches come from and go to: nested parquet files of the engine's own, and encoded
+messages of other makers in Kafka or in files with the same two columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from querytrail.schemas import ENCODED_BATCH
+from querytrail.schemas import DNS_BATCH, ENCODED_BATCH
 
 # Fixed value: the topic the batches travel on.
 TOPIC = "dns.analytics.10min"
@@ -39,3 +40,14 @@ def read_batch_files(spark: SparkSession, path: str, stream: bool = False,
 
 def write_batch_files(encoded: DataFrame, path: str, mode: str = "append") -> None:
     encoded.write.mode(mode).parquet(path)
+
+
+def read_nested_files(spark: SparkSession, path: str, stream: bool = False,
+                      **options: str) -> DataFrame:
+    """Batches as nested rows, as a table or as a stream of new files; no codec, no Python."""
+    reader = spark.readStream if stream else spark.read
+    return reader.schema(DNS_BATCH).options(**options).parquet(path)
+
+
+def write_nested_files(batches: DataFrame, path: str, mode: str = "append") -> None:
+    batches.write.mode(mode).option("compression", "zstd").parquet(path)

@@ -16,6 +16,7 @@ from querytrail.operators.metrics import TOP_K, event_cube, sum_counters, top_do
 from querytrail.schemas import COUNTERS_LATENCY
 from querytrail.sources.codec import encode_batches
 from querytrail.sources.facts import up_to
+from querytrail.sources.messages import write_batch_files, write_nested_files
 from querytrail.sources.paths import exists, is_complete, subfolders
 
 _KEYS = ["minute_timestamp", "resolver_id", "client_hash", "category", "domain"]
@@ -74,8 +75,10 @@ def _taken(spark: SparkSession, path: str, runs: list[int]) -> dict[str, int]:
     return {r["stream"]: r["n"] for r in rows}
 
 
-def publish_batches(spark: SparkSession, cube_path: str, path: str, k: int = TOP_K) -> str | None:
-    """Nest and encode what the cube has received since the last call, as run N of batches.
+def publish_batches(spark: SparkSession, cube_path: str, path: str, k: int = TOP_K,
+                    encoded: bool = True) -> str | None:
+    """Nest what the cube has received since the last call, as run N of batches: encoded
+    messages, or nested rows as they are.
 
     What a run takes is written down before its batches, so a run that stopped is done again
     with the very same rows. Rows of ten minutes that an earlier run has sent come in a
@@ -103,5 +106,8 @@ def publish_batches(spark: SparkSession, cube_path: str, path: str, k: int = TOP
     if n:
         nested = nested.withColumn("batch_id", F.concat("batch_id", F.lit(f"-r{n}")))
     out = f"{path}/batches/run={n}"
-    encode_batches(nested).write.mode("overwrite").parquet(out)
+    if encoded:
+        write_batch_files(encode_batches(nested), out, "overwrite")
+    else:
+        write_nested_files(nested, out, "overwrite")
     return out

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from querytrail.operators import batches as nest
 from querytrail.operators import metrics
 from querytrail.operators.merge import merge_aggs
-from querytrail.schemas import COUNTERS_LATENCY, FACT_KEYS
+from querytrail.schemas import COUNTERS_LATENCY, DNS_BATCH, FACT_KEYS
 from querytrail.sources.codec import bad_batches, decode_batches, good_batches
 from querytrail.sources.facts import (COMMITS, LEDGER, MAIN, commit, last_committed, up_to,
                                       write_delta)
@@ -99,12 +101,35 @@ def apply_batches(batches: DataFrame, epoch: int, root: str, stream: str = MAIN)
         held.unpersist()
 
 
+def _nested_or_error(batches: DataFrame) -> DataFrame:
+    """Nested rows in the form of decoded messages: those without a batch id are errors."""
+    no_id = F.trim(F.coalesce(F.col("batch_id"), F.lit(""))) == ""
+    whole = F.struct(*DNS_BATCH.names)
+    return batches.select(
+        F.col("batch_id").alias("key"),
+        F.when(no_id, F.encode(F.to_json(whole), "UTF-8")).alias("value"),
+        F.when(no_id, F.lit("no batch id")).alias("error"),
+        F.when(~no_id, whole).alias("batch"))
+
+
+def merge_nested(batches: DataFrame, root: str, checkpoint: str):
+    """Stream writer from nested batches to the hourly tables, without the codec."""
+    return _merge_stream(batches, root, checkpoint, _nested_or_error)
+
+
 def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
     """Stream writer from encoded messages to the hourly tables.
 
-    Epochs belong to the query that its checkpoint names: with a new checkpoint they count anew,
-    and the ledger of batch ids alone says what is a repeat. What cannot be decoded, or has no
-    batch id, goes to a dead-letter folder and stops nothing.
+    What cannot be decoded goes to the dead letters, like what has no batch id.
+    """
+    return _merge_stream(messages, root, checkpoint, decode_batches)
+
+
+def _merge_stream(messages: DataFrame, root: str, checkpoint: str,
+                  decode: Callable[[DataFrame], DataFrame]):
+    """Epochs belong to the query that its checkpoint names: with a new checkpoint they count
+    anew, and the ledger of batch ids alone says what is a repeat. Dead letters go to a folder
+    and stop nothing.
     """
     def merge(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
@@ -113,7 +138,7 @@ def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
             raise RuntimeError("no streaming query runs here")
         if is_applied(spark, root, epoch, stream):
             return
-        decoded = decode_batches(rows).persist(StorageLevel.MEMORY_AND_DISK)
+        decoded = decode(rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             bad = bad_batches(decoded)
             if not bad.isEmpty():
