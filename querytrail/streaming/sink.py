@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from querytrail.operators import batches as nest
 from querytrail.operators import metrics
@@ -18,6 +19,7 @@ from querytrail.sources.facts import (COMMITS, LEDGER, MAIN, commit, last_commit
 from querytrail.sources.paths import exists, make_folder
 
 _DEAD = "dead_letters"
+_ONCE = "batches_once"
 
 
 def _batch_day():
@@ -42,10 +44,11 @@ def unseen_batches(batches: DataFrame, root: str) -> DataFrame:
     path = f"{root}/{LEDGER}"
     if facts["rows"] == 0 or not exists(spark, path):
         return once
-    days = [F.lit(str(facts[d])).cast("date") for d in ("lo", "hi")]
+    days = [F.lit(facts[d]).cast("date") for d in ("lo", "hi")]
+    day = F.col("batch_day")
     seen = (spark.read.schema("batch_id string, batch_day date, stream string, epoch long")
             .parquet(path)
-            .filter(F.col("batch_day").between(*days) & up_to(last_committed(spark, root)))
+            .filter((day.between(*days) | day.isNull()) & up_to(last_committed(spark, root)))
             .select("batch_id"))
     return once.join(seen, "batch_id", "left_anti")
 
@@ -70,17 +73,30 @@ def hourly_deltas(batches: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _apply(batches: DataFrame, epoch: int, root: str, stream: str) -> None:
+def _write_by_day(batches: DataFrame, path: str, epoch: int, stream: str) -> None:
+    (batches.withColumns({"stream": F.lit(stream), "epoch": F.lit(epoch).cast("long")})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("batch_day", "stream", "epoch").parquet(path))
+
+
+def _merge_hourly(fresh: DataFrame, epoch: int, root: str, stream: str) -> None:
+    for table, delta in hourly_deltas(fresh).items():
+        write_delta(delta, root, table, epoch, stream)
+
+
+def _keep_nested(fresh: DataFrame, epoch: int, root: str, stream: str) -> None:
+    _write_by_day(fresh.withColumn("batch_day", _batch_day()), f"{root}/{_ONCE}", epoch, stream)
+
+
+def _apply(batches: DataFrame, epoch: int, root: str, stream: str,
+           take: Callable[[DataFrame, int, str, str], None] = _merge_hourly) -> None:
     # From here on readers trust the commits, so a first epoch is not seen half-written.
     spark = batches.sparkSession
     make_folder(spark, f"{root}/{COMMITS}")
     fresh = unseen_batches(batches, root)
-    for table, delta in hourly_deltas(fresh).items():
-        write_delta(delta, root, table, epoch, stream)
-    (fresh.select("batch_id", _batch_day().alias("batch_day"), F.lit(stream).alias("stream"),
-                  F.lit(epoch).cast("long").alias("epoch"))
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_day", "stream", "epoch").parquet(f"{root}/{LEDGER}"))
+    take(fresh, epoch, root, stream)
+    _write_by_day(fresh.select("batch_id", _batch_day().alias("batch_day")), f"{root}/{LEDGER}",
+                  epoch, stream)
     commit(spark, root, epoch, stream)
 
 
@@ -101,9 +117,13 @@ def apply_batches(batches: DataFrame, epoch: int, root: str, stream: str = MAIN)
         held.unpersist()
 
 
+def _no_id():
+    return F.trim(F.coalesce(F.col("batch_id"), F.lit(""))) == ""
+
+
 def _nested_or_error(batches: DataFrame) -> DataFrame:
     """Nested rows in the form of decoded messages: those without a batch id are errors."""
-    no_id = F.trim(F.coalesce(F.col("batch_id"), F.lit(""))) == ""
+    no_id = _no_id()
     whole = F.struct(*DNS_BATCH.names)
     return batches.select(
         F.col("batch_id").alias("key"),
@@ -125,8 +145,29 @@ def merge_encoded(messages: DataFrame, root: str, checkpoint: str):
     return _merge_stream(messages, root, checkpoint, decode_batches)
 
 
+def keep_once(batches: DataFrame, root: str, checkpoint: str):
+    """Stream writer that stores nested batches, each batch id once, for ``read_once``.
+
+    The ledger of the root says what is a repeat, so a batch may be late by any amount and
+    nothing is kept in memory; batches without an id go to the dead letters. The root is one of
+    its own: what its ledger holds is not merged into hourly tables.
+    """
+    return _merge_stream(batches, root, checkpoint, _nested_or_error, _keep_nested)
+
+
+def read_once(spark: SparkSession, root: str) -> DataFrame:
+    """The batches that ``keep_once`` has committed."""
+    path = f"{root}/{_ONCE}"
+    if not exists(spark, path):
+        return spark.createDataFrame([], DNS_BATCH)
+    stored = "batch_day date, stream string, epoch long"
+    rows = spark.read.schema(T.StructType([*DNS_BATCH, *T.StructType.fromDDL(stored)]))
+    return rows.parquet(path).filter(up_to(last_committed(spark, root))).select(*DNS_BATCH.names)
+
+
 def _merge_stream(messages: DataFrame, root: str, checkpoint: str,
-                  decode: Callable[[DataFrame], DataFrame]):
+                  decode: Callable[[DataFrame], DataFrame],
+                  take: Callable[[DataFrame, int, str, str], None] = _merge_hourly):
     """Epochs belong to the query that its checkpoint names: with a new checkpoint they count
     anew, and the ledger of batch ids alone says what is a repeat. Dead letters go to a folder
     and stop nothing.
@@ -144,7 +185,7 @@ def _merge_stream(messages: DataFrame, root: str, checkpoint: str,
             if not bad.isEmpty():
                 bad.write.mode("overwrite").parquet(
                     f"{root}/{_DEAD}/stream={stream}/epoch={epoch}")
-            _apply(good_batches(decoded), epoch, root, stream)
+            _apply(good_batches(decoded), epoch, root, stream, take)
         finally:
             decoded.unpersist()
 
@@ -159,11 +200,12 @@ def read_dead_letters(spark: SparkSession, root: str) -> DataFrame:
             else spark.createDataFrame([], schema))
 
 
-def dedup_stream(batches: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Drop redelivered batches inside the stream, within the watermark.
+def dedup_stream(batches: DataFrame) -> DataFrame:
+    """Drop redelivered batches inside the stream, by batch id alone and at any age.
 
-    A cheap first line; the ledger catches repeats of any age.
+    There is no watermark, so no batch is too late; the state holds every id that has come. Where
+    that grows too large use ``keep_once``. Batches without an id are no repeats of each other
+    and all pass: sinks set them aside.
     """
-    return (batches.withColumn("batch_time", F.timestamp_seconds("window_start_timestamp"))
-            .withWatermark("batch_time", delay)
-            .dropDuplicatesWithinWatermark(["batch_id"]))
+    return (batches.filter(~_no_id()).dropDuplicates(["batch_id"])
+            .unionByName(batches.filter(_no_id())))

@@ -236,6 +236,55 @@ def test_dedup_stream_drops_repeats(spark, nested, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == nested.count()
 
 
+def land_backwards(spark, nested, landing):
+    """The newest batches first, older ones months late, then all again; each with a batch
+    without an id."""
+    import os
+    late = F.col("window_start_timestamp") < START.timestamp() + 1200
+    old = nested.filter(late).withColumn(
+        "window_start_timestamp", F.col("window_start_timestamp") - 90 * 86400)
+    new = nested.filter(~late)
+    none = nested.limit(1).withColumn("batch_id", F.lit(None).cast("string"))
+    seen = set()
+    for n, part in enumerate((new, old, new.unionByName(old))):
+        part.unionByName(none).coalesce(1).write.mode("append").parquet(landing)
+        for name in set(os.listdir(landing)) - seen:  # files are read in the order of their times
+            os.utime(os.path.join(landing, name), (1_000_000 + n, 1_000_000 + n))
+        seen = set(os.listdir(landing))
+    return (spark.readStream.schema(DNS_BATCH).option("maxFilesPerTrigger", 1).parquet(landing),
+            rows_of(new.unionByName(old).select("batch_id", "window_start_timestamp")))
+
+
+def test_dedup_stream_keeps_late_batches(spark, nested, tmp_path):
+    landed, want = land_backwards(spark, nested, str(tmp_path / "in"))
+    (sink.dedup_stream(landed).writeStream.format("parquet")
+     .option("checkpointLocation", str(tmp_path / "ckpt")).option("path", str(tmp_path / "out"))
+     .trigger(availableNow=True).start().awaitTermination())
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert rows_of(out.filter("batch_id is not null")
+                   .select("batch_id", "window_start_timestamp")) == want
+    assert out.filter("batch_id is null").count() == 3
+
+
+def test_keep_once_keeps_late_batches(spark, nested, tmp_path):
+    landed, want = land_backwards(spark, nested, str(tmp_path / "in"))
+    root = str(tmp_path / "r")
+    (sink.keep_once(landed, root, str(tmp_path / "ckpt"))
+     .trigger(availableNow=True).start().awaitTermination())
+    out = sink.read_once(spark, root)
+    assert rows_of(out.select("batch_id", "window_start_timestamp")) == want
+    assert sink.read_dead_letters(spark, root).count() == 3
+
+
+def test_ledger_knows_batches_without_a_time(spark, nested, tmp_path):
+    root = str(tmp_path / "r")
+    timeless = nested.limit(2).withColumn("window_start_timestamp", F.lit(None).cast("long"))
+    sink.apply_batches(timeless, 0, root)
+    want = tables_of(spark, root)
+    sink.apply_batches(timeless, 1, root)
+    assert tables_of(spark, root) == want
+
+
 def test_upserts_do_not_care_about_splits(cube):
     for table, whole in facts.hourly_facts(cube).items():
         if table == "client_top_domains_hourly":
