@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from querytrail.llm import jaccard, ledger, mixing, packing, spans
-from querytrail.llm.common import prepare, store, table, word_count
+from querytrail.llm.common import in_file_order, prepare, store, table, word_count
 
 POLICY = "v1"
 
@@ -58,9 +58,16 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of each document, or piece of one, in the training sequences."""
+    """The place of each document, or piece of one, in the training sequences.
+
+    ``position`` is the row's number in the order that the mix has written, ``copy`` counts the
+    rows with the same doc_id and text in it; shards are stretches of that order."""
     prepare(spark)
-    return packing.pack(docs.select("doc_id", word_count(F.col("text")).alias("n_words")))
+    rows = in_file_order(docs.select("doc_id", "text"), "packing-in").select(
+        "doc_id", F.xxhash64("text").alias("text_"), word_count(F.col("text")).alias("n_words"),
+        "position")
+    same = Window.partitionBy("doc_id", "text_").orderBy("position")
+    return packing.pack_in_order(rows.withColumn("copy", F.row_number().over(same) - 1))
 
 
 STAGES = [

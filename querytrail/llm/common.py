@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,6 +60,24 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .drop("part_", "at_", "first_"))
 
 
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``position``, the number of each row in the order in which the rows were
+    written: by task, then by row of the file. A frame that is not read from files is stored."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = store(df, name)
+    path, at = F.col("_metadata.file_path").alias("path_"), F.col("_metadata.row_index").alias("at_")
+    task = F.regexp_extract("path_", r"part-(\d+)[^/]*$", 1).try_cast("long")
+    # Rows that were filtered out leave gaps, never two rows with one number.
+    files = (df.select(path, at).groupBy("path_").agg((F.max("at_") + 1).alias("rows_"))
+             .withColumn("file_", F.struct(task, F.col("path_"))))
+    starts = running_start(files, "file_", "rows_", "first_").select("path_", "first_")
+    return (df.select("*", path, at).join(F.broadcast(starts), "path_")
+            .withColumn("position", F.col("first_") + F.col("at_"))
+            .drop("path_", "at_", "first_"))
+
+
 def running_start(parts: DataFrame, order: str, amount: str, name: str) -> DataFrame:
     """The sum of ``amount`` over all earlier rows; for tables of one row per task or file."""
     from pyspark.sql import Window

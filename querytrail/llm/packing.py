@@ -7,7 +7,7 @@ opened at the capacity with the least cost: what the bin costs (``overhead`` + c
 over the share of it that pieces still to come can be expected to fill. When all are placed,
 every bin is shrunk to the least permitted length that holds its contents.
 
-A shard is a hash range of documents, about ``SHARD`` of them at every size of input, packed in
+A shard is a hash range of documents, or with ``pack_in_order`` a stretch of them, about ``SHARD`` of them at every size of input, packed in
 one task from lengths alone; the number of shards follows from the count of rows.
 
 Defined results: documents without length take a place in no bin (``bin_id`` null); a null length
@@ -20,7 +20,7 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITIES = (512, 1024, 2048, 4096)
@@ -69,40 +69,83 @@ def pack(docs: DataFrame, length: str = "n_words", capacities: tuple[int, ...] =
          overhead: int = OVERHEAD, rows_per_shard: int = SHARD) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start`` and ``length`` in the document,
     ``bin_id`` (shard and number), ``offset`` in the bin, ``capacity`` and ``used`` of the bin."""
-    import pandas as pd
+    items = _items(docs, length, [])
+    count = items.count()
+    shards = max(1, -(-count // rows_per_shard))
+    pieces = _pieces(items, max(capacities)).withColumn(
+        "shard", F.pmod(F.xxhash64("doc_id", "piece", "all_"), F.lit(shards)).cast("int"))
+    return _packed(pieces, ["shard"], [], capacities, overhead)
+
+
+def pack_in_order(docs: DataFrame, length: str = "n_words",
+                  capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD,
+                  rows_per_shard: int = SHARD) -> DataFrame:
+    """As ``pack``, of rows with ``position`` (their number in training order, from 0) and
+    ``copy``, which are returned with ``shard``.
 
+    A shard is a stretch of ``rows_per_shard`` rows; where their pieces are more than that, it is
+    packed in parts of so many pieces. Ties go to the earlier row, and the bins of a part are
+    numbered by the mean position in them.
+    """
     longest = max(capacities)
-    columns = ["doc_id", "piece", "start", "length", "bin_id", "offset", "capacity", "used"]
+    items = _items(docs, length, ["position", "copy"]).withColumn(
+        "shard", F.floor(F.col("position") / rows_per_shard))
+    # No window is longer than a stretch.
+    earlier = (Window.partitionBy("shard").orderBy("position")
+               .rowsBetween(Window.unboundedPreceding, -1))
+    n_pieces = F.greatest(F.ceil(F.col("all_") / longest), F.lit(1))
+    items = items.withColumn("before_", F.coalesce(F.sum(n_pieces).over(earlier), F.lit(0)))
+    pieces = _pieces(items, longest).withColumn(
+        "part", F.floor((F.col("before_") + F.col("piece")) / rows_per_shard)).drop("before_")
+    return _packed(pieces, ["shard", "part"], ["position", "copy", "shard"], capacities, overhead)
+
+
+def _items(docs: DataFrame, length: str, more: list[str]) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"),
+                       F.coalesce(F.col(length), F.lit(0)).cast("long").alias("all_"),
+                       *[F.col(c).cast("long").alias(c) for c in more])
+
+
+def _pieces(items: DataFrame, longest: int) -> DataFrame:
+    cut = F.sequence(F.lit(0), F.greatest(
+        F.ceil(F.col("all_") / longest) - 1, F.lit(0)).cast("int"))
+    return (items.withColumn("piece", F.explode(cut))
+            .withColumn("start", (F.col("piece") * longest).cast("long"))
+            .withColumn("length", F.least(F.lit(longest), F.col("all_") - F.col("start"))))
+
+
+def _packed(pieces: DataFrame, by: list[str], more: list[str], capacities: tuple[int, ...],
+            overhead: int) -> DataFrame:
+    """Each group of pieces packed; ``more`` names columns that pass, by ``position`` in order."""
+    import pandas as pd
+
+    own = ["doc_id", "piece", "start", "length"]
+    columns = [*own, "bin_id", "offset", "capacity", "used", *more]
+    tie = "position" if more else "doc_id"
 
     def run(key, pdf):
-        pdf = pdf.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True],
+        pdf = pdf.sort_values(["length", tie, "piece"], ascending=[False, True, True],
                               kind="stable", ignore_index=True)
         n = pdf["length"].astype("int64").tolist()
         place, offset, final = best_fit(n, capacities, overhead)
         used = np.bincount(place, weights=n, minlength=len(final)).astype("int64")
         place = np.array(place)
+        number = np.arange(len(final))
+        if more:
+            mean = np.bincount(place, weights=pdf["position"]) / np.bincount(place)
+            number[np.argsort(mean, kind="stable")] = np.arange(len(final))
+        shard = "-".join(map(str, key))
         return pd.DataFrame({
-            "doc_id": pdf["doc_id"], "piece": pdf["piece"], "start": pdf["start"], "length": n,
-            "bin_id": [f"{key[0]}-{b}" for b in place], "offset": offset,
+            **{c: pdf[c] for c in (*own, *more)},
+            "bin_id": [f"{shard}-{b}" for b in number[place]], "offset": offset,
             "capacity": np.array(final)[place], "used": used[place]})[columns]
 
-    items = docs.select(F.col("doc_id").cast("long"),
-                        F.coalesce(F.col(length), F.lit(0)).cast("long").alias("all_"))
-    count = items.count()
-    shards = max(1, -(-count // rows_per_shard))
-    cut = F.sequence(F.lit(0), F.greatest(
-        F.ceil(F.col("all_") / longest) - 1, F.lit(0)).cast("int"))
-    pieces = (items.select("doc_id", "all_", F.explode(cut).alias("piece"))
-              .withColumn("start", (F.col("piece") * longest).cast("long"))
-              .withColumn("length", F.least(F.lit(longest), F.col("all_") - F.col("start")))
-              .withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "all_"),
-                                          F.lit(shards)).cast("int")))
     schema = ("doc_id long, piece int, start long, length long, bin_id string, offset long, "
-              "capacity int, used long")
-    packed = (pieces.where("length > 0").drop("all_").groupBy("shard")
+              "capacity int, used long" + "".join(f", {c} long" for c in more))
+    packed = (pieces.where("length > 0").select(*own, *dict.fromkeys([*by, *more])).groupBy(*by)
               .applyInPandas(run, schema))
     none = pieces.where("length <= 0").select(
-        "doc_id", "piece", "start", "length", F.lit(None).cast("string").alias("bin_id"),
+        *own, F.lit(None).cast("string").alias("bin_id"),
         F.lit(None).cast("long").alias("offset"), F.lit(None).cast("int").alias("capacity"),
-        F.lit(None).cast("long").alias("used"))
+        F.lit(None).cast("long").alias("used"), *more)
     return packed.unionByName(none)

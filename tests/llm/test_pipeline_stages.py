@@ -48,3 +48,46 @@ def test_stages_take_odd_rows(request, spark, sf_dir, which):
             assert docs.columns == request.getfixturevalue(which).columns
     if which == "none":
         assert docs.count() == 0
+
+
+def test_packing_keeps_the_training_order(spark, sf_dir, monkeypatch):
+    """Falling, even and rising sources keep their mean times; copies stay apart and numbered."""
+    from pyspark.sql import functions as F
+
+    from querytrail.llm import mixing, packing
+
+    n = 3000
+    docs = spark.range(n, numPartitions=3).select(
+        F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("w"), F.col("id")).alias("text"),
+        F.element_at(F.array(*map(F.lit, "abbc")), (F.col("id") % 4 + 1).cast("int"))
+        .alias("source"))
+    mixed = store(cp.mix_sources(spark, docs, sf_dir).repartitionByRange(
+        5, F.monotonically_increasing_id()).sortWithinPartitions(
+        F.monotonically_increasing_id()), "t")
+    monkeypatch.setattr(packing.pack_in_order, "__defaults__",
+                        (*packing.pack_in_order.__defaults__[:-1], 100))
+    rows = cp.best_fit_packing(spark, mixed, sf_dir).collect()
+    total = len(rows)
+    assert sorted(r["position"] for r in rows) == list(range(total))
+    assert all(r["shard"] == r["position"] // 100 for r in rows)
+    assert all(r["bin_id"].split("-")[0] == str(r["shard"]) for r in rows)
+    order = mixing.training_order(mixing.plan(docs)).where("copy is not null").collect()
+    at = {(r["doc_id"], r["copy"]): i for i, r in enumerate(
+        sorted(order, key=lambda r: (r["position"], r["doc_id"], r["copy"])))}
+    assert at == {(r["doc_id"], r["copy"]): r["position"] for r in rows}
+    assert max(r["copy"] for r in rows) > 0
+    mean = {s: [r["position"] / total for r in rows if "abbc"[r["doc_id"] % 4] == s] for s in "abc"}
+    mean = {s: sum(x) / len(x) for s, x in mean.items()}
+    assert mean["a"] < mean["b"] - 0.02 and mean["b"] < mean["c"] - 0.02
+
+
+def test_packing_parts_are_bounded_by_pieces(spark):
+    from querytrail.llm import packing
+
+    df = spark.createDataFrame([(i, 4096 * 9, i, 0) for i in range(6)],
+                               "doc_id long, n_words long, position long, copy long")
+    rows = packing.pack_in_order(df, rows_per_shard=4).collect()
+    parts = {}
+    for r in rows:
+        parts.setdefault(r["bin_id"].rsplit("-", 1)[0], []).append(r)
+    assert len(rows) == 54 and max(map(len, parts.values())) <= 4
