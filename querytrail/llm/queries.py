@@ -15,17 +15,18 @@ from querytrail.llm import (
     jaccard,
     langid,
     ledger,
+    merkle,
     mixing,
     packing,
     separators,
     spans,
 )
 from querytrail.llm.common import prepare, store, table, word_count
+from querytrail.llm.oracles import ORACLES  # noqa: F401
 from querytrail.session import scratch_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_50k.json"
 #: The id after the vocabulary of that file: no text encodes to it.
@@ -124,3 +125,18 @@ def op8_nearest(spark, sf):
 @query
 def op9_jaccard_join(spark, sf):
     return jaccard.near_groups(table(spark, sf, "documents"))
+
+
+@query
+def op11_merkle_manifest(spark, sf):
+    docs = table(spark, sf, "documents")
+    # What someone else did to the files: every other document lost its line ends.
+    hit = (F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.col("text").contains("\n")
+    leaves = docs.select("doc_id", "source", merkle.leaf_hash().alias("leaf"), F.when(
+        hit, merkle.leaf_hash(text=F.replace("text", F.lit("\n"), F.lit("")))).alias("tampered"))
+    proofs = merkle.manifest(leaves, carry=("tampered",))
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("path"))
+    return (proofs.select("doc_id", "leaf", "subroot", "root",
+                          merkle.proof_hash(F.col("path")).alias("proof_sha256"),
+                          folded.alias("folded_root"))
+            .withColumn("verified", F.col("folded_root") == F.col("root")))
