@@ -15,11 +15,13 @@ from querytrail.llm import (
     jaccard,
     langid,
     ledger,
+    lm,
     merkle,
     mixing,
     packing,
     separators,
     spans,
+    whitening,
 )
 from querytrail.llm.common import prepare, store, table, word_count
 from querytrail.llm.oracles import ORACLES  # noqa: F401
@@ -140,3 +142,19 @@ def op11_merkle_manifest(spark, sf):
                           merkle.proof_hash(F.col("path")).alias("proof_sha256"),
                           folded.alias("folded_root"))
             .withColumn("verified", F.col("folded_root") == F.col("root")))
+
+
+@query
+def op12_lm_score(spark, sf):
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 10
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "text", lm.part_of(remainder).alias("part"))
+    return lm.score(docs).select(
+        "doc_id", F.coalesce(remainder == 0, F.lit(True)).alias("held_out"), "n_tokens",
+        "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op13_whiten(spark, sf):
+    rows = whitening.grid(table(spark, sf, "embeddings"))
+    return whitening.apply(rows, whitening.fit(rows))
