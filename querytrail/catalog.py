@@ -11,13 +11,14 @@ from pyspark.sql import functions as F
 
 from querytrail import fixtures as fx
 from querytrail import functions as fn
-from querytrail.operators import batches, matching, merge, metrics, rollups, rules
-from querytrail.plans import compaction, facts, reports, retention
+from querytrail.operators import (asof, batches, matching, merge, metrics, rollups, rules,
+                                  sketches)
+from querytrail.plans import compaction, facts, reports, retention, tiers, views
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, DNS_BATCH
 from querytrail.session import scratch_dir, ship_package
 from querytrail.sources import codec, lists, messages
 from querytrail.sources.facts import commit, read_facts, write_delta
-from querytrail.streaming import enrich, sink
+from querytrail.streaming import enrich, sink, stateful
 from querytrail.streaming import metrics as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1068,7 +1069,22 @@ def stream_policy_decision(spark, sf):
     lists.write_rule_snapshot(*rules.rule_snapshot(fx.domain_rules(spark, sf)), root, 1)
     events = fx.query_event_stream(spark, sf).select("event_id", "domain")
     _await(enrich.write_decisions(events, root, path, scratch_dir(spark, "ckpt")))
-    return spark.read.parquet(path).select("event_id", "rule_domain", "listed_parent", "blocked")
+    return enrich.read_decisions(spark, path).select(
+        "event_id", "rule_domain", "listed_parent", "blocked")
+
+
+@query
+def stream_policy_new_checkpoint(spark, sf):
+    """Two halves of the events, decided into one folder by queries with own checkpoints; a newer
+    rule version comes in between."""
+    root, path = scratch_dir(spark, "snapshot"), scratch_dir(spark, "decided")
+    table = fx.domain_rules(spark, sf)
+    for side, part in enumerate((table, table.filter(F.col("action") == "BLOCK"))):
+        lists.write_rule_snapshot(*rules.rule_snapshot(part), root, side + 1)
+        events = fx.query_event_stream(spark, sf).select("event_id", "domain")
+        _await(enrich.write_decisions(events.filter(F.col("event_id") % 2 == side), root, path,
+                                      scratch_dir(spark, "ckpt")))
+    return enrich.read_decisions(spark, path).select("event_id", "rule_version", "blocked")
 
 
 @query
@@ -1114,3 +1130,218 @@ def late_data(spark, sf):
     sink.apply_batches(nested.filter(~late), 0, root)
     sink.apply_batches(nested.filter(late), 1, root)
     return _round_latency(read_facts(spark, root, "resolver_hourly_stats").drop("month"))
+
+
+def _streamed_minutes(spark: SparkSession, sf: str) -> str:
+    """Minutes that the stream has closed: four files, the later half of the time first, read in
+    two runs of one query, with a heartbeat at the end."""
+    landed, path, ckpt = (scratch_dir(spark, n) for n in ("landed", "minutes", "ckpt"))
+    events = fx.prepared_events(spark, sf).select(
+        "ts", "resolver_id", "action", "is_blocked", "rcode", "cache_hit", "latency_ms")
+    last, middle = events.agg(F.max("ts"), F.timestamp_seconds(
+        (F.unix_seconds(F.min("ts")) + F.unix_seconds(F.max("ts"))) / 2)).first()
+    half = F.col("ts") > F.lit(middle.isoformat(sep=" ")).cast("timestamp")
+    odd = F.crc32(F.col("ts").cast("string")) % 2 == 0
+    beat = events.limit(1).select(
+        (F.lit(last.isoformat(sep=" ")).cast("timestamp") + F.expr("interval 5 minutes"))
+        .alias("ts"), "resolver_id",
+        *[F.lit(None).cast(t).alias(n) for n, t in events.dtypes if n not in ("ts", "resolver_id")])
+
+    def run() -> None:
+        source = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
+                  .parquet(landed))
+        writer = (stateful.closed_minutes(source).writeStream.format("parquet")
+                  .option("path", path).option("checkpointLocation", ckpt))
+        _await(writer)
+
+    for part in (events.filter(half & odd), events.filter(half & ~odd)):
+        part.coalesce(1).write.mode("append").parquet(landed)
+    run()
+    for part in (events.filter(~half & odd), events.filter(~half & ~odd), beat):
+        part.coalesce(1).write.mode("append").parquet(landed)
+    run()
+    return path
+
+
+@query
+def stream_minute_stateful(spark, sf):
+    """Minutes closed by timers, with the corrections that late files brought."""
+    rows = spark.read.schema(stateful.CLOSED).parquet(_streamed_minutes(spark, sf))
+    return stateful.minute_sums(rows).filter(F.col("total_queries") > 0)
+
+
+@query
+def stream_zero_fill(spark, sf):
+    """Every minute up to the last event, from the stream of closed minutes; file by file."""
+    minutes, path = _streamed_minutes(spark, sf), scratch_dir(spark, "filled")
+    source = (spark.readStream.schema(stateful.CLOSED).option("maxFilesPerTrigger", 20)
+              .parquet(minutes))
+    _await(stateful.filled_minutes(source).writeStream.format("parquet").option("path", path)
+           .option("checkpointLocation", scratch_dir(spark, "ckpt")))
+    rows = stateful.minute_sums(spark.read.schema(stateful.FILLED).parquet(path))
+    last = fx.query_events(spark, sf).agg(F.date_trunc("minute", F.max("ts")).alias("last"))
+    return rows.join(F.broadcast(last), F.col("minute_timestamp") <= F.col("last")).drop("last")
+
+
+# --- summaries of any period ------------------------------------------------------------
+
+@query
+def mv_refresh_fast(spark, sf):
+    """The daily view after two commits: all hours but those of 5 o'clock; then, from 1997 on,
+    these too, changed hours of 3 o'clock, and those of 2 o'clock deleted."""
+    log, view = scratch_dir(spark, "log"), scratch_dir(spark, "view")
+    hours, late = fx.resolver_hourly(spark, sf), F.year("hour_timestamp") >= 1997
+    at = F.hour("hour_timestamp")
+    views.append_log(views.changes(None, hours.filter(at != 5)), log, 1)
+    views.refresh(spark, log, view)
+    old = hours.filter(late & (at == 3))
+    new = (old.withColumn("total_queries", F.col("total_queries") + 7)
+           .withColumn("total_latency_ms", F.col("total_latency_ms") + 70)
+           .withColumn("avg_latency_ms", F.col("total_latency_ms") / F.col("total_queries")))
+    views.append_log(views.changes(old.unionByName(hours.filter(late & (at == 2))),
+                                   new.unionByName(hours.filter(late & (at == 5)))), log, 2)
+    views.refresh(spark, log, view)
+    return (_round_latency(views.read_daily(spark, view))
+            .withColumn("weighted_avg_latency_ms", F.round("weighted_avg_latency_ms", 6)))
+
+
+def _stored_sketches(spark: SparkSession, rows: DataFrame) -> str:
+    """Sketches of hours, stored in two epochs that share hours."""
+    path = scratch_dir(spark, "sketches")
+    for epoch, part in enumerate(rows):
+        sketches.write_hours(part, path, epoch)
+    return path
+
+
+def _in_two(df: DataFrame, key: str) -> list[DataFrame]:
+    side = F.crc32(F.col(key).cast("string")) % 2
+    return [df.filter(side == 0), df.filter(side == 1)]
+
+
+@query
+def distinct_clients_sketch(spark, sf):
+    """Clients per month and of all time from stored sketches of hours, beside the exact count."""
+    hours = fx.client_hourly(spark, sf)
+    path = _stored_sketches(spark, [sketches.client_sketches(p)
+                                    for p in _in_two(hours, "client_hash")])
+    stored = sketches.read_hours(spark, path)
+    months = sketches.merge_sets(stored, F.col("month").alias("period"))
+    whole = sketches.merge_sets(months, F.lit("all").alias("period"))
+    month = F.date_format("hour_timestamp", "yyyy-MM").alias("period")
+    exact = (hours.groupBy(month).agg(F.count_distinct("client_hash").alias("exact"))
+             .unionByName(hours.groupBy(F.lit("all").alias("period"))
+                          .agg(F.count_distinct("client_hash").alias("exact"))))
+    return sketches.with_distinct(months.unionByName(whole)).join(exact, "period")
+
+
+@query
+def distinct_domains_sketch(spark, sf):
+    """Domains per client from stored sketches of hours, beside the exact count."""
+    hours = fx.domain_hourly(spark, sf)
+    path = _stored_sketches(spark, [sketches.domain_sketches(p) for p in _in_two(hours, "domain")])
+    clients = sketches.merge_sets(sketches.read_hours(spark, path), "client_hash")
+    exact = hours.groupBy("client_hash").agg(F.count_distinct("domain").alias("exact"))
+    return sketches.with_distinct(clients).join(exact, "client_hash")
+
+
+def _stored_latencies(spark: SparkSession, sf: str) -> DataFrame:
+    events = fx.query_events(spark, sf)
+    return sketches.read_hours(spark, _stored_sketches(
+        spark, [sketches.latency_sketches(p) for p in _in_two(events, "event_id")]))
+
+
+@query
+def resolver_p95_hourly(spark, sf):
+    hours = sketches.merge_latencies(_stored_latencies(spark, sf), "hour_timestamp", "resolver_id")
+    return sketches.with_percentile(hours).select(
+        "hour_timestamp", "resolver_id", "measured", F.col("latency_ms").alias("p95_latency_ms"))
+
+
+@query
+def resolver_p95_daily(spark, sf):
+    """Days merged from stored hours; at this size the summary holds every value."""
+    days = sketches.merge_latencies(
+        _stored_latencies(spark, sf),
+        F.date_trunc("day", F.col("hour_timestamp")).alias("day_timestamp"), "resolver_id")
+    return sketches.with_percentile(days).select(
+        "day_timestamp", "resolver_id", "measured", F.col("latency_ms").alias("p95_latency_ms"))
+
+
+@query
+def resolver_p95_monthly(spark, sf):
+    """The exact percentile of a month and whether the bounds of the merged summary hold it."""
+    months = sketches.with_percentile(sketches.merge_latencies(
+        _stored_latencies(spark, sf), F.col("month").alias("year_month"), "resolver_id"))
+    exact = (fx.query_events(spark, sf)
+             .groupBy(F.date_format("ts", "yyyy-MM").alias("year_month"), "resolver_id")
+             .agg(F.expr("percentile_disc(0.95) within group (order by latency_ms)")
+                  .cast("long").alias("p95_latency_ms")))
+    return months.join(exact, ["year_month", "resolver_id"]).select(
+        "year_month", "resolver_id", "measured", "p95_latency_ms",
+        F.col("p95_latency_ms").between(F.col("lower_bound"), F.col("upper_bound"))
+        .alias("within_bounds"))
+
+
+@query
+def client_domain_bounds(spark, sf):
+    """Bounds from day lists of one domain each, per month, beside the exact figure."""
+    events = fx.prepared_events(spark, sf)
+    days = metrics.agg_client_domain_minute(events, "1 day")
+    month = F.date_trunc("month", F.col("minute_timestamp"))
+    bounds = sketches.domain_bounds(sketches.listed_domains(days, 1), month)
+    exact = (days.groupBy(month.alias("period"), "client_hash", "domain")
+             .agg(F.sum("total_queries").alias("exact")))
+    return (bounds.join(exact, ["period", "client_hash", "domain"])
+            .withColumn("holds", F.col("exact").between(F.col("at_least"), F.col("at_most"))))
+
+
+#: First and last moment of odd report periods on both sides of the rollover.
+RANGES = [
+    ("1996-03-10 02:00:00", "1996-03-10 05:00:00"), ("1996-03-10 02:30:00", "1996-03-12 03:10:00"),
+    ("1996-02-28 04:00:00", "1996-03-01 02:59:59"), ("1995-12-31 03:00:00", "1997-02-01 00:00:00"),
+    ("1994-01-01 00:00:00", "1994-12-31 23:59:59"), ("1993-05-17 06:00:00", "1993-07-02 01:00:00"),
+    ("1997-11-30 00:00:00", "2000-06-15 04:00:00"), ("1992-01-01 00:00:00", "2001-01-01 00:00:00"),
+    ("2000-01-01 00:00:00", "2000-01-31 05:00:00"), ("1999-12-31 07:00:00", "2000-01-01 01:00:00"),
+]
+
+
+@query
+def tiered_range(spark, sf):
+    """Totals of odd periods from month, day and hour rows after a rollover that keeps hours."""
+    root = _stored_facts(spark, sf)
+    retention.roll_up(spark, root, YEAR_2000)
+    return _round_latency(reduce(DataFrame.unionByName, [
+        tiers.tiered_range(spark, root, fn.TimeWindow(*map(datetime.fromisoformat, r)))
+        .withColumn("period", F.lit(i)) for i, r in enumerate(RANGES)]))
+
+
+#: When the three versions of the test rules were published.
+PUBLISHED = {1: "2024-01-05 00:00:00", 2: "2024-01-12 06:30:00", 3: "2024-01-20 12:00:00"}
+
+
+@query
+def policy_decision_as_of(spark, sf):
+    """Each event by the version in force when it came: all rules, then only those that block,
+    then those on names of even length."""
+    table = fx.domain_rules(spark, sf)
+    parts = [table, table.filter(F.col("action") == "BLOCK"),
+             table.filter(F.length("domain") % 2 == 0)]
+    snapshots = asof.all_snapshots({v: (p, matching.blocked_set(p))
+                                    for v, p in enumerate(parts, 1)})
+    published = spark.createDataFrame(list(PUBLISHED.items()), "version long, at string").select(
+        "version", F.col("at").cast("timestamp").alias("published_at"))
+    return asof.policy_decision_as_of(
+        fx.query_events(spark, sf).select("event_id", "ts", "domain"),
+        asof.version_spans(published), asof.policy_intervals(snapshots),
+        spread=["event_id"]).select(
+            "event_id", F.coalesce("rule_version", F.lit(0)).alias("rule_version"),
+            "rule_domain", "blocked")
+
+
+@query
+def clients_over_rate_sliding(spark, sf):
+    """The events folded into twenty seconds, so that a second is a second."""
+    folded = F.timestamp_micros(F.lit(1704067200000000)
+                                + F.col("event_id") * 7919 % 20000 * 1000)
+    return reports.clients_over_rate_sliding(
+        fx.prepared_events(spark, sf).withColumn("ts", folded), 5, chunk_us=3_000_000)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from querytrail.catalog import CATEGORY_NAMES
+from querytrail.catalog import CATEGORY_NAMES, PUBLISHED, RANGES
 from querytrail.fixtures import SECRET
 from querytrail.functions.events import hmac_pads
+from querytrail.operators.sketches import SPREAD
 
 _IPAD, _OPAD = hmac_pads(SECRET)
 
@@ -635,3 +636,109 @@ SELECT span.m AS minute_timestamp, """ + ", ".join(
     "dedup_batches": _HOUR_CLIENT,
     "late_data": _HOUR_RESOLVER,
 }
+
+# --- summaries of any period ------------------------------------------------------------
+
+ORACLES["stream_minute_stateful"] = ORACLES["stream_minute_metrics"]
+ORACLES["stream_zero_fill"] = ORACLES["zero_fill_minutes"]
+
+ORACLES["mv_refresh_fast"] = f"""WITH {_FB0}, rh0 AS (
+  SELECT hour_timestamp, hour(hour_timestamp) AS h, hour_timestamp >= TIMESTAMP '1997-01-01' AS late,
+         {_S8} FROM fb GROUP BY ALL),
+rh AS (SELECT * REPLACE (total_queries + CASE WHEN late AND h = 3 THEN 7 ELSE 0 END AS total_queries,
+       total_latency_ms + CASE WHEN late AND h = 3 THEN 70 ELSE 0 END AS total_latency_ms)
+  FROM rh0 WHERE NOT (h = 5 AND NOT late) AND NOT (h = 2 AND late))
+SELECT CAST(date_trunc('day', hour_timestamp) AS TIMESTAMP) AS stat_date,
+count(*) AS hourly_windows_count, {_sums(['total_queries', 'blocked_queries', 'cache_hits'])},
+round(avg(total_latency_ms / total_queries), 6) AS avg_latency_ms,
+round(sum(total_latency_ms) / sum(total_queries), 6) AS weighted_avg_latency_ms
+FROM rh GROUP BY 1"""
+
+# The tables here hold few members per sketch: the estimate is then the exact number.
+_SPREAD = f"""n AS estimate, CAST(floor(n / (1 + {SPREAD!r})) AS BIGINT) AS lower_bound,
+CAST(ceil(n / (1 - {SPREAD!r})) AS BIGINT) AS upper_bound, n AS exact"""
+
+ORACLES["distinct_clients_sketch"] = f"""WITH {_FB0}, x AS (
+  SELECT strftime(hour_timestamp, '%Y-%m') AS period, count(DISTINCT client_hash) AS n
+  FROM fb GROUP BY 1 UNION ALL SELECT 'all', count(DISTINCT client_hash) FROM fb)
+SELECT period, {_SPREAD} FROM x"""
+
+ORACLES["distinct_domains_sketch"] = f"""WITH {_FB0}, x AS (
+  SELECT client_hash, count(DISTINCT domain) AS n FROM fb GROUP BY 1)
+SELECT client_hash, {_SPREAD} FROM x"""
+
+
+def _p95(period: str, name: str, extra: str = "") -> str:
+    return f"""WITH {_EV} SELECT {period} AS {name}, resolver_id, count(*) AS measured,
+quantile_disc(latency_ms, 0.95) AS p95_latency_ms {extra} FROM ev GROUP BY 1, 2"""
+
+
+ORACLES["resolver_p95_hourly"] = _p95("CAST(date_trunc('hour', ts) AS TIMESTAMP)", "hour_timestamp")
+ORACLES["resolver_p95_daily"] = _p95("CAST(date_trunc('day', ts) AS TIMESTAMP)", "day_timestamp")
+ORACLES["resolver_p95_monthly"] = _p95("strftime(ts, '%Y-%m')", "year_month",
+                                       ", TRUE AS within_bounds")
+
+ORACLES["client_domain_bounds"] = f"""WITH {_PE}, dd AS (
+  SELECT date_trunc('day', ts) AS d, client_hash, domain, count(*) AS n FROM pe
+  WHERE domain IS NOT NULL AND trim(domain) <> '' GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER w AS r, coalesce(lead(n) OVER w, 0) AS cut FROM dd
+  WINDOW w AS (PARTITION BY d, client_hash ORDER BY n DESC, domain)),
+own AS (SELECT CAST(date_trunc('month', d) AS TIMESTAMP) AS period, client_hash, domain,
+  CAST(sum(n) AS BIGINT) AS at_least, CAST(sum(cut) AS BIGINT) AS own_cut
+  FROM ranked WHERE r = 1 GROUP BY ALL),
+every AS (SELECT CAST(date_trunc('month', d) AS TIMESTAMP) AS period, client_hash,
+  CAST(sum(cut) AS BIGINT) AS all_cut FROM ranked WHERE r = 1 GROUP BY ALL),
+exact AS (SELECT CAST(date_trunc('month', d) AS TIMESTAMP) AS period, client_hash, domain,
+  CAST(sum(n) AS BIGINT) AS exact FROM dd GROUP BY ALL)
+SELECT period, client_hash, domain, at_least, at_least + all_cut - own_cut AS at_most, exact,
+  exact BETWEEN at_least AND at_least + all_cut - own_cut AS holds
+FROM own JOIN every USING (period, client_hash) JOIN exact USING (period, client_hash, domain)"""
+
+ORACLES["tiered_range"] = f"WITH {_FB0}, r(period, lo, hi) AS (VALUES " + ", ".join(
+    f"({i}, TIMESTAMP '{a}', TIMESTAMP '{b}')" for i, (a, b) in enumerate(RANGES)) + ") SELECT period, " + ", ".join(
+    f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in [*_C7, "total_latency_ms"]) + """,
+coalesce(round(sum(total_latency_ms) / sum(total_queries), 6), 0.0) AS avg_latency_ms
+FROM r LEFT JOIN fb ON hour_timestamp BETWEEN lo AND hi GROUP BY 1"""
+
+
+def _decided_by(version: int, condition: str) -> str:
+    """Decisions of one rule version, as CTEs of their own."""
+    v = f"v{version}"
+    return f"""rules{v} AS (SELECT * FROM rules WHERE status = 'ACTIVE' AND {condition}),
+matched{v} AS (
+  SELECT w.domain, arg_min(r.domain, depth) AS rule_domain, arg_min(r.action = 'BLOCK', depth) AS rule_block
+  FROM walk w JOIN rules{v} r ON r.domain = w.suffix
+   AND (depth = 0 OR r.match_type = 'DOMAIN_AND_SUBDOMAINS') GROUP BY w.domain),
+bset{v} AS ((SELECT domain FROM rules{v} WHERE action = 'BLOCK')
+  EXCEPT SELECT domain FROM rules{v} WHERE action <> 'BLOCK'),
+lp{v} AS (SELECT DISTINCT w.domain FROM walk w JOIN bset{v} s ON s.domain = w.suffix),
+decided{v} AS (SELECT CAST({version} AS BIGINT) AS rule_version, d.domain, rule_domain,
+  coalesce(rule_block, l.domain IS NOT NULL) AS blocked
+  FROM domains d LEFT JOIN matched{v} m USING (domain) LEFT JOIN lp{v} l ON l.domain = d.domain)"""
+
+
+_VERSION_RULES = {1: "TRUE", 2: "action = 'BLOCK'", 3: "length(domain) % 2 = 0"}
+_DECIDED = ", ".join(_decided_by(v, c) for v, c in _VERSION_RULES.items())
+
+ORACLES["policy_decision_as_of"] = f"""WITH RECURSIVE {_EV}, {_RULES}, {_DOMAINS}, {_WALK},
+{_DECIDED},
+timed AS (SELECT event_id, domain, CAST(CASE {" ".join(
+    f"WHEN ts >= TIMESTAMP '{at}' THEN {v}" for v, at in sorted(PUBLISHED.items(), reverse=True))}
+  END AS BIGINT) AS rule_version FROM ev),
+decided AS (SELECT * FROM decidedv1 UNION ALL SELECT * FROM decidedv2
+            UNION ALL SELECT * FROM decidedv3)
+SELECT event_id, coalesce(t.rule_version, 0) AS rule_version, d.rule_domain,
+  coalesce(d.blocked, FALSE) AS blocked
+FROM timed t LEFT JOIN decided d ON d.domain = t.domain AND d.rule_version = t.rule_version"""
+
+ORACLES["stream_policy_new_checkpoint"] = f"""WITH RECURSIVE {_EV}, {_RULES}, {_DOMAINS}, {_WALK},
+{_decided_by(1, "TRUE")}, {_decided_by(2, "action = 'BLOCK'")}
+SELECT event_id, CAST(1 + event_id % 2 AS BIGINT) AS rule_version,
+       coalesce(CASE WHEN event_id % 2 = 0 THEN a.blocked ELSE b.blocked END, FALSE) AS blocked
+FROM ev LEFT JOIN decidedv1 a ON a.domain = ev.domain LEFT JOIN decidedv2 b ON b.domain = ev.domain"""
+
+ORACLES["clients_over_rate_sliding"] = f"""WITH {_PE}, folded AS (
+  SELECT event_id, client_hash, epoch_ms(1704067200000 + event_id * 7919 % 20000) AS ts FROM pe),
+n AS (SELECT *, count(*) OVER (PARTITION BY client_hash ORDER BY ts
+  RANGE BETWEEN INTERVAL 999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS queries FROM folded)
+SELECT client_hash, event_id, ts, queries, queries - 5 AS over_limit FROM n WHERE queries > 5"""

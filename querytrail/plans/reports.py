@@ -213,6 +213,28 @@ def queries_over_rate(events: DataFrame, limit: int = MAX_QUERIES_PER_SECOND) ->
             .drop("second", "last_allowed"))
 
 
+def clients_over_rate_sliding(events: DataFrame, limit: int = MAX_QUERIES_PER_SECOND,
+                              window_us: int = 1_000_000, chunk_us: int = 600_000_000
+                              ) -> DataFrame:
+    """Queries at which a client has more than ``limit`` within the time ``window_us`` that ends
+    there, whatever second of the clock that falls in.
+
+    A client's queries are looked at in chunks of time; what lies less than a window before the
+    next chunk is also looked at there, so that a busy client spreads over tasks.
+    """
+    at = F.unix_micros("ts")
+    own = F.floor(at / chunk_us)
+    timed = (events.select("client_hash", "event_id", "ts", at.alias("at"), own.alias("own"))
+             .withColumn("chunk", F.explode(F.array_distinct(F.array(
+                 "own", F.floor((F.col("at") + (window_us - 1)) / chunk_us))))))
+    recent = (Window.partitionBy("client_hash", "chunk").orderBy("at")
+              .rangeBetween(1 - window_us, 0))
+    return (timed.withColumn("queries", F.count(F.lit(1)).over(recent))
+            .filter((F.col("chunk") == F.col("own")) & (F.col("queries") > limit))
+            .select("client_hash", "event_id", "ts", "queries",
+                    (F.col("queries") - limit).alias("over_limit")))
+
+
 def any_query_report(events: DataFrame) -> DataFrame:
     """Clients that ask for all records of a name, a sign of amplification attempts."""
     return (events.groupBy("client_hash")

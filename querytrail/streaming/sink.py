@@ -132,6 +132,12 @@ def _nested_or_error(batches: DataFrame) -> DataFrame:
         F.when(~no_id, whole).alias("batch"))
 
 
+def _set_aside(decoded: DataFrame, epoch: int, root: str, stream: str) -> None:
+    bad = bad_batches(decoded)
+    if not bad.isEmpty():
+        bad.write.mode("overwrite").parquet(f"{root}/{_DEAD}/stream={stream}/epoch={epoch}")
+
+
 def merge_nested(batches: DataFrame, root: str, checkpoint: str):
     """Stream writer from nested batches to the hourly tables, without the codec."""
     return _merge_stream(batches, root, checkpoint, _nested_or_error)
@@ -181,10 +187,7 @@ def _merge_stream(messages: DataFrame, root: str, checkpoint: str,
             return
         decoded = decode(rows).persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            bad = bad_batches(decoded)
-            if not bad.isEmpty():
-                bad.write.mode("overwrite").parquet(
-                    f"{root}/{_DEAD}/stream={stream}/epoch={epoch}")
+            _set_aside(decoded, epoch, root, stream)
             _apply(good_batches(decoded), epoch, root, stream, take)
         finally:
             decoded.unpersist()
