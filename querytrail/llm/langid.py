@@ -5,9 +5,10 @@ product of its letters' vectors, each rotated by its place (binding); a text is
 n-grams (bundling), and a language's prototype is the sum of its texts. A text gets the language
 of the nearest prototype by cosine. Sums are of whole numbers, so every run gives the same.
 
-Learning reads all training texts in one pass: each task adds up one vector per language.
-Memory holds a bounded stretch of text and one vector per language; the number of languages is
-bounded by ``max_languages``, beyond which fitting refuses rather than drops some.
+Learning reads all training texts in one pass: each task adds up one vector per language it
+meets, and sends them on when it holds ``LANGUAGES`` of them. Prototypes are a stored table.
+Texts are compared with blocks of ``LANGUAGES`` prototypes, one after the other, and keep the
+best so far, so any number of languages is learned and no task holds them all.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is all
 when nothing could be learned; ties go to the smaller language name; rows that repeat count each.
@@ -24,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from querytrail.llm.common import store
+
 UNKNOWN = "und"
 
 
@@ -38,6 +41,8 @@ class Space:
 
 #: Letters of text worked on at a time, and n-gram vectors held at a time.
 STRETCH, GRAMS_AT_ONCE, ROWS_AT_ONCE = 1 << 20, 2048, 256
+#: Prototypes held at a time.
+LANGUAGES = 1000
 
 
 @lru_cache(maxsize=1)
@@ -116,9 +121,15 @@ def _stretches(texts: Iterator[tuple[int, str]], n: int) -> Iterator[tuple[list,
         yield rows, np.array(owners)
 
 
-def fit(labelled: DataFrame, space: Space = Space(), max_languages: int = 10_000
-        ) -> dict[str, list[float]]:
-    """Prototype per language from rows of ``text`` and ``lang`` (nulls are left out)."""
+def fit(labelled: DataFrame, space: Space = Space()) -> DataFrame:
+    """Stored prototypes, ``lang`` and ``v``, from rows of ``text`` and ``lang`` (nulls are left
+    out)."""
+    def rows_of(sums):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.string()),
+             pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
+            names=["lang", "v"])
+
     def learn(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
@@ -130,11 +141,11 @@ def fit(labelled: DataFrame, space: Space = Space(), max_languages: int = 10_000
             for rows, owner in _stretches(texts, space.n):
                 for name, v in zip(names, _bundle(space, rows, owner, len(names)), strict=True):
                     sums[name] = sums[name] + v if name in sums else v
+            if len(sums) >= LANGUAGES:
+                yield rows_of(sums)
+                sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(sums), pa.string()),
-                 pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))],
-                names=["lang", "v"])
+            yield rows_of(sums)
 
     parts = (labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull())
              .select("text", "lang").mapInArrow(learn, "lang string, v array<double>"))
@@ -142,22 +153,13 @@ def fit(labelled: DataFrame, space: Space = Space(), max_languages: int = 10_000
               .agg(F.sum("x").alias("x")).groupBy("lang")
               .agg(F.sort_array(F.collect_list(F.struct("d", "x"))).alias("v"))
               .select("lang", F.transform("v", lambda e: e["x"]).alias("v")))
-    found = summed.limit(max_languages + 1).collect()
-    if len(found) > max_languages:
-        raise ValueError(f"more than {max_languages} languages to learn")
-    return {r["lang"]: r["v"] for r in found}
+    return store(summed, "langid-prototypes")
 
 
-def predict(docs: DataFrame, prototypes: dict[str, list[float]], space: Space = Space()
-            ) -> DataFrame:
-    """``doc_id``, ``lang_pred`` and ``score`` of every row, from its whole text alone."""
-    names = sorted(prototypes)
-    table = np.array([prototypes[x] for x in names], np.float64).reshape(len(names), space.dims)
-    norms = np.linalg.norm(table, axis=1)
-    table = table[norms > 0] / norms[norms > 0, None]
-    names = [x for x, keep in zip(names, norms > 0, strict=True) if keep]
-
-    def score(batches):
+def _compare(names: list[str], table: np.ndarray, space: Space, last: bool):
+    """Best language so far of each text after a block of prototypes; the text itself goes on to
+    the next block."""
+    def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
@@ -169,16 +171,41 @@ def predict(docs: DataFrame, prototypes: dict[str, list[float]], space: Space =
                     sums += _bundle(space, rows, owner, len(texts))
                     seen[owner] |= [bool(r.any()) for r in rows]
                 norm = np.linalg.norm(sums, axis=1)
-                ok = seen & (norm > 0) & bool(names)
-                best, top = np.zeros(len(texts), int), np.zeros(len(texts))
+                lang, top = part.column("lang_pred").to_pylist(), part.column("cos").to_pylist()
                 if names:
                     cos = (sums @ table.T) / np.where(norm > 0, norm, 1)[:, None]
-                    best, top = cos.argmax(1), np.clip(cos.max(1), 0, 1)
+                    for i in np.flatnonzero(seen & (norm > 0)):
+                        b = cos[i].argmax()  # the smaller name where equal
+                        if top[i] is None or cos[i, b] > top[i]:
+                            lang[i], top[i] = names[b], float(cos[i, b])
+                columns = [part.column("doc_id"), pa.array(lang, pa.string()),
+                           pa.array(top, pa.float64())]
+                if not last:
+                    columns.append(part.column("text"))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"),
-                     pa.array([names[b] if k else UNKNOWN for b, k in zip(best, ok, strict=True)]),
-                     pa.array(np.where(ok, top, 0.0))],
-                    names=["doc_id", "lang_pred", "score"])
+                    columns, names=["doc_id", "lang_pred", "cos", "text"][:len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        score, "doc_id long, lang_pred string, score double")
+    return run, "doc_id long, lang_pred string, cos double" + ("" if last else ", text string")
+
+
+def predict(docs: DataFrame, prototypes: DataFrame, space: Space = Space()) -> DataFrame:
+    """``doc_id``, ``lang_pred`` and ``score`` of every row, from its whole text alone."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text",
+                       F.lit(None).cast("string").alias("lang_pred"),
+                       F.lit(None).cast("double").alias("cos"))
+    after = None
+    while True:
+        left = prototypes if after is None else prototypes.where(F.col("lang") > after)
+        found = left.orderBy("lang").limit(LANGUAGES + 1).collect()
+        block, last = found[:LANGUAGES], len(found) <= LANGUAGES
+        table = np.array([r["v"] for r in block], np.float64).reshape(len(block), space.dims)
+        norms = np.linalg.norm(table, axis=1)
+        names = [r["lang"] for r, n in zip(block, norms, strict=True) if n > 0]
+        rows = rows.mapInArrow(*_compare(names, table[norms > 0] / norms[norms > 0, None], space,
+                                         last))
+        if last:
+            break
+        rows, after = store(rows, "langid-best"), block[-1]["lang"]
+    score = F.least(F.greatest(F.coalesce("cos", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    return rows.select("doc_id", F.coalesce("lang_pred", F.lit(UNKNOWN)).alias("lang_pred"),
+                       score.alias("score"))
