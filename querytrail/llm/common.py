@@ -60,6 +60,19 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
             .drop("part_", "at_", "first_"))
 
 
+def placed(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with ``place_``, a hash of each row's place in the files it is read from: rows alike
+    in all columns differ in it, and it is the same however often the files are read. A frame
+    that is not read from files is stored."""
+    try:
+        df.select("_metadata.row_index")
+    except AnalysisException:
+        df = store(df, name)
+    # The file's own name: the same files may be reached by several paths.
+    file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+    return df.select("*", F.xxhash64(file, F.col("_metadata.row_index")).alias("place_"))
+
+
 def in_file_order(df: DataFrame, name: str) -> DataFrame:
     """``df`` with ``position``, the number of each row in the order in which the rows were
     written: by task, then by row of the file. A frame that is not read from files is stored."""
@@ -73,7 +86,7 @@ def in_file_order(df: DataFrame, name: str) -> DataFrame:
     files = (df.select(path, at).groupBy("path_").agg((F.max("at_") + 1).alias("rows_"))
              .withColumn("file_", F.struct(task, F.col("path_"))))
     starts = running_start(files, "file_", "rows_", "first_").select("path_", "first_")
-    return (df.select("*", path, at).join(F.broadcast(starts), "path_")
+    return (df.select("*", path, at).join(starts, "path_")
             .withColumn("position", F.col("first_") + F.col("at_"))
             .drop("path_", "at_", "first_"))
 

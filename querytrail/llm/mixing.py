@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querytrail.llm.common import numbered, store, word_count
+from querytrail.llm.common import numbered, placed, store, word_count
 
 Curve = tuple[tuple[float, float], ...]
 
@@ -30,8 +30,9 @@ CURVES: tuple[Curve, ...] = (
 )
 REPEAT_CAP = 3
 SHARE = 1.0
-# A source is added up in so many hash buckets, so that a large one is no single task.
-BUCKETS = 1024
+# A source is added up in hash buckets of about so many rows, so that a large one is no single
+# task; equal rows, which share a bucket, are first added up by their place in the input.
+BUCKET_ROWS, LEAST_BUCKETS = 50_000, 64
 
 
 def area(curve: Curve) -> float:
@@ -86,36 +87,47 @@ def plan(docs: DataFrame, curves: tuple[Curve, ...] = CURVES, repeat_cap: int =
     ``source_size``, ``target``, ``curve``, ``before`` (words of the source before the row, in
     hash order) and ``copies``."""
     own = ["size", "source_size", "target", "curve", "before", "copies", "skey", "snull",
-           "bucket", "order_"]
-    docs = docs.drop(*own)
-    sized = (docs.withColumn("size", word_count(F.col("text")))
+           "order_", "part_", "place_"]
+    sized = (placed(docs.drop(*own), "mix-rows")
+             .withColumn("size", word_count(F.col("text")))
              .withColumn("skey", F.coalesce(F.col("source"), F.lit("")))
              .withColumn("snull", F.col("source").isNull())
-             .withColumn("order_", F.xxhash64(F.lit(seed), F.col("doc_id")))
-             .withColumn("bucket", F.pmod(F.col("order_"), F.lit(BUCKETS)).cast("int")))
-    key = ["skey", "snull", "bucket"]
-    # Sizes are counted in a pass over the text alone; what is joined to the rows is small.
-    sums = store(sized.groupBy(*key).agg(F.sum("size").alias("words")), "mix-sums")
-    sizes = (sums.groupBy("skey", "snull").agg(F.sum("words").alias("source_size"))
+             .withColumn("order_", F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))))
+    source, key = ["skey", "snull"], ["skey", "snull", "order_", "part_"]
+    # Sizes are counted in a pass over the text alone; what is joined to the rows is narrow.
+    narrow = store(sized.select(*source, "order_", "place_", "size"), "mix-sizes")
+    buckets = max(LEAST_BUCKETS, -(-narrow.count() // BUCKET_ROWS))
+    part = F.pmod(F.col("place_"), F.lit(buckets)).cast("int")
+    bucket = F.pmod(F.col("order_"), F.lit(buckets)).cast("int")
+    alike = (narrow.withColumn("part_", part).groupBy(*key).agg(F.sum("size").alias("words"))
+             .withColumn("bucket", bucket))
+    sums = store(alike.groupBy(*source, "bucket").agg(F.sum("words").alias("words")), "mix-sums")
+    sizes = (sums.groupBy(*source).agg(F.sum("words").alias("source_size"))
              .select(F.when(~F.col("snull"), F.col("skey")).alias("source"), "source_size"))
     targets = store(source_targets(sizes, curves, repeat_cap, share), "mix-targets")
-    earlier = (Window.partitionBy("skey", "snull").orderBy("bucket")
+    earlier = (Window.partitionBy(*source).orderBy("bucket")
                .rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.withColumn("start_", F.coalesce(F.sum("words").over(earlier), F.lit(0)))
     starts = starts.join(
         targets.select(F.coalesce("source", F.lit("")).alias("skey"),
                        F.col("source").isNull().alias("snull"),
-                       "source_size", "target", "curve"), ["skey", "snull"]).drop("words")
-    within = (Window.partitionBy(*key).orderBy("order_", "doc_id", "size")
+                       "source_size", "target", "curve"), source).drop("words")
+    within = (Window.partitionBy(*source, "bucket").orderBy("order_", "part_")
               .rowsBetween(Window.unboundedPreceding, -1))
-    placed = (sized.join(starts, key)
-              .withColumn("before", F.col("start_")
-                          + F.coalesce(F.sum("size").over(within), F.lit(0))))
+    first = (alike.withColumn("ahead_", F.coalesce(F.sum("words").over(within), F.lit(0)))
+             .join(starts, [*source, "bucket"])
+             .select(*key, (F.col("start_") + F.col("ahead_")).alias("start_"), "source_size",
+                     "target", "curve"))
+    equal = (Window.partitionBy(*key).orderBy("doc_id", "size")
+             .rowsBetween(Window.unboundedPreceding, -1))
+    ordered = (sized.withColumn("part_", part).join(first, key)
+               .withColumn("before", F.col("start_")
+                           + F.coalesce(F.sum("size").over(equal), F.lit(0))))
     middle = F.col("before") + F.col("size") / 2
     copies = F.floor((F.col("target") - middle) / F.col("source_size")) + 1
-    return (placed.withColumn("copies", F.when(F.col("size") == 0, 0)
-                              .otherwise(F.greatest(copies, F.lit(0))).cast("long"))
-            .drop("start_", *key, "order_"))
+    return (ordered.withColumn("copies", F.when(F.col("size") == 0, 0)
+                               .otherwise(F.greatest(copies, F.lit(0))).cast("long"))
+            .drop("start_", *key, "place_"))
 
 
 def training_order(planned: DataFrame, curves: tuple[Curve, ...] = CURVES) -> DataFrame:
