@@ -7,8 +7,10 @@ opened at the capacity with the least cost: what the bin costs (``overhead`` + c
 over the share of it that pieces still to come can be expected to fill. When all are placed,
 every bin is shrunk to the least permitted length that holds its contents.
 
-A shard is a hash range of documents, or with ``pack_in_order`` a stretch of them, about ``SHARD`` of them at every size of input, packed in
-one task from lengths alone; the number of shards follows from the count of rows.
+A shard is a hash range of rows and their places in the input, or with ``pack_in_order`` a
+stretch of them, about ``SHARD`` pieces at every size of input, packed in one task from lengths
+alone; the number of shards follows from the count of pieces. Equal rows have different places,
+so that they spread over the shards, too.
 
 Defined results: documents without length take a place in no bin (``bin_id`` null); a null length
 counts as none; rows that repeat are packed each; ties go to the smaller doc_id, then the earlier
@@ -20,9 +22,11 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from querytrail.llm.common import placed, store
+
 CAPACITIES = (512, 1024, 2048, 4096)
 OVERHEAD = 16
 SHARD = 8192
@@ -69,14 +73,38 @@ def pack(docs: DataFrame, length: str = "n_words", capacities: tuple[int, ...] =
          overhead: int = OVERHEAD, rows_per_shard: int = SHARD) -> DataFrame:
     """One row per piece: ``doc_id``, ``piece``, ``start`` and ``length`` in the document,
     ``bin_id`` (shard and number), ``offset`` in the bin, ``capacity`` and ``used`` of the bin."""
-    items = _items(docs, length, [])
-    count = items.count()
+    # Lengths are looked at twice, the table they come from once.
+    items = store(_items(placed(docs, "packing-rows"), length, ["place_"]), "packing-lengths")
+    longest = max(capacities)
+    count = items.agg(F.sum(_n_pieces(longest))).first()[0] or 0
     shards = max(1, -(-count // rows_per_shard))
-    pieces = _pieces(items, max(capacities)).withColumn(
-        "shard", F.pmod(F.xxhash64("doc_id", "piece", "all_"), F.lit(shards)).cast("int"))
+    pieces = _pieces(items, longest).withColumn("shard", F.pmod(
+        F.xxhash64("doc_id", "piece", "all_", "place_"), F.lit(shards)).cast("int"))
     return _packed(pieces, ["shard"], [], capacities, overhead)
 
 
+def with_copy(rows: DataFrame, keys: list[str], stretch: int = SHARD) -> DataFrame:
+    """``rows`` (with ``position``) with ``copy``: how many rows with the same keys come before.
+
+    Copies are counted in stretches of positions, and the stretches' counts are added up, so a
+    text that a third of all rows hold is no single group.
+    """
+    cut = rows.withColumn("stretch_", F.floor(F.col("position") / stretch))
+    before = (Window.partitionBy(*keys).orderBy("stretch_")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    counts = cut.groupBy(*keys, "stretch_").agg(F.count("*").alias("n_"))
+    starts = counts.select(
+        *[F.col(k).alias(f"{k}_key") for k in keys], F.col("stretch_").alias("at_"),
+        F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    on = F.col("stretch_") == F.col("at_")
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_key"))
+    here = Window.partitionBy(*keys, "stretch_").orderBy("position")
+    return (cut.join(starts, on)
+            .withColumn("copy", F.col("start_") + F.row_number().over(here) - 1)
+            .select(*rows.columns, "copy"))
+
+
 def pack_in_order(docs: DataFrame, length: str = "n_words",
                   capacities: tuple[int, ...] = CAPACITIES, overhead: int = OVERHEAD,
                   rows_per_shard: int = SHARD) -> DataFrame:
@@ -93,13 +121,17 @@ def pack_in_order(docs: DataFrame, length: str = "n_words",
     # No window is longer than a stretch.
     earlier = (Window.partitionBy("shard").orderBy("position")
                .rowsBetween(Window.unboundedPreceding, -1))
-    n_pieces = F.greatest(F.ceil(F.col("all_") / longest), F.lit(1))
-    items = items.withColumn("before_", F.coalesce(F.sum(n_pieces).over(earlier), F.lit(0)))
+    items = items.withColumn("before_", F.coalesce(F.sum(_n_pieces(longest)).over(earlier),
+                                                   F.lit(0)))
     pieces = _pieces(items, longest).withColumn(
         "part", F.floor((F.col("before_") + F.col("piece")) / rows_per_shard)).drop("before_")
     return _packed(pieces, ["shard", "part"], ["position", "copy", "shard"], capacities, overhead)
 
 
+def _n_pieces(longest: int) -> Column:
+    return F.greatest(F.ceil(F.col("all_") / longest), F.lit(1))
+
+
 def _items(docs: DataFrame, length: str, more: list[str]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"),
                        F.coalesce(F.col(length), F.lit(0)).cast("long").alias("all_"),
