@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian candidate pruning.
 
-Texts are sets of 5-word shingles. Equal texts are one class, represented by its least doc_id;
-MinHash values of the classes are cut into bands, and classes that share a band are candidates.
+Texts are sets of 5-word shingles. Equal texts are one class, with a number of its own; MinHash
+values of the classes are cut into bands, and classes that share a band are candidates.
 Candidate pairs are not written out: classes are gathered round the least class they share a
 band with (their hub), hubs that meet in a band are paired once, and the classes of two hubs are
 compared in blocks inside one task. There MinHash values are compared a few at a time; a pair is
@@ -14,9 +14,9 @@ Groups are the connected components of the links, found by spreading the least l
 trees and jumping, each round written to the checkpoint folder.
 
 Defined results: null, empty and blank texts have no shingles, so no links, and are groups of
-their own; texts of one to four words are one shingle; rows without doc_id take no part
-(``class_id`` null, no links); rows that share doc_id and text count as copies; rows that share
-a doc_id but not the text are versions of one document and are in one group.
+their own; texts of one to four words are one shingle; the text alone is compared, so rows that
+share a doc_id but not the text are strangers, and rows with one text are copies whatever their
+doc_id; a group is named after its least doc_id (null where no row of it has one).
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from querytrail.llm.common import store
@@ -198,18 +198,28 @@ def _components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
-                ) -> DataFrame:
-    """One row per document: ``doc_id``, ``class_id`` (the least doc_id of its group),
-    ``n_copies`` (rows with its very text, itself included), ``n_links`` (other rows, copies
-    included, that reach the threshold) and ``n_text_links`` (other texts that do)."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text",
-                       F.unhex(F.md5("text")).alias("copy"))
-    named = rows.where(F.col("doc_id").isNotNull())
+#: The label of a group goes back to its members by a salted join: a group may be very large.
+SALTS = 16
+
+
+def _copy() -> Column:
+    """The class of a text: null for null."""
+    return F.unhex(F.md5("text"))
+
+
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+                 ) -> DataFrame:
+    """One row per text with shingles: ``copy`` (its md5), ``copies`` (rows that hold it),
+    ``near_docs`` and ``near_texts`` (other rows and other texts that reach the threshold),
+    ``class_id`` (the least doc_id of its group) and ``leads``: it is the group's text with the
+    least doc_id, the smaller md5 where equal."""
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _copy().alias("copy"))
+    named = rows.where(F.col("text").isNotNull())
     sketched = named.mapInArrow(_bands, "doc_id long, copy binary, bands array<long>")
     classes = store(sketched.groupBy("copy").agg(
-        F.min("doc_id").alias("node"), F.count("*").alias("copies"),
-        F.first("bands").alias("bands")), "jaccard-classes")
+        F.min("doc_id").alias("doc"), F.count("*").alias("copies"),
+        F.first("bands").alias("bands"))
+        .withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
     shared = classes.select("node", F.explode("bands").alias("band"))
     met = (shared.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"))
            .where("n > 1"))
@@ -225,10 +235,12 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     pairs = (in_band.join(other, "band").where(F.col("hub") <= F.col("hub2"))
              .select("hub", "hub2").distinct())
     # Only texts that met another in a band are read again, and they are dealt out once.
-    met_classes = classes.select("copy", F.col("node").alias("doc_id"), "copies").join(
-        hubs.withColumnRenamed("node", "doc_id"), "doc_id")
-    texts = (named.join(met_classes, ["copy", "doc_id"]).dropDuplicates(["copy", "doc_id"])
-             .select(F.col("doc_id").alias("node"), "hub", "copies", "text"))
+    met_classes = (classes.select("node", "copies", F.col("copy").alias("copy_"), "doc")
+                   .join(hubs, "node"))
+    # Of a text with many copies the row of its least doc_id is sent on, or one without.
+    own = (F.col("copy") == F.col("copy_")) & F.col("doc_id").eqNullSafe(F.col("doc"))
+    texts = (named.join(met_classes, own).dropDuplicates(["node"])
+             .select("node", "hub", "copies", "text"))
     texts = store(texts, "jaccard-texts")
     blocks = texts.groupBy("hub").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.length("text")) / BLOCK_CHARS),
@@ -259,14 +271,51 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
                                       F.sum("near_texts").alias("near_texts"))
     labels = _components(found.select(F.col("node").alias("a"), F.col("parent").alias("b"))
                          .where("a <> b"))
-    per_copy = (classes.select("copy", "node", "copies").join(links, "node", "left")
-                .join(labels, "node", "left")
-                .select(F.col("copy").alias("copy_"), "copies", "near_docs", "near_texts",
-                        F.coalesce("label", "node").alias("group")))
-    out = (rows.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("copy")).alias("copy"))
-           .join(per_copy, F.col("copy") == F.col("copy_"), "left"))
+    members = store(classes.select("copy", "node", "doc", "copies").join(links, "node", "left")
+                    .join(labels, "node", "left")
+                    .withColumn("group", F.coalesce("label", "node")), "jaccard-members")
+    lead = F.min(F.struct(F.col("doc").isNull().alias("none"), "doc", "copy"))
+    groups = (members.where(F.col("label").isNotNull()).groupBy("group").agg(lead.alias("lead"))
+              .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return (salted.join(groups, ["group", "salt"], "left").select(
+        "copy", "copies", F.coalesce("near_docs", F.lit(0)).alias("near_docs"),
+        F.coalesce("near_texts", F.lit(0)).cast("long").alias("near_texts"),
+        F.when(F.col("lead").isNull(), F.col("doc")).otherwise(F.col("lead")["doc"])
+        .alias("class_id"),
+        F.coalesce(F.col("lead")["copy"] == F.col("copy"), F.lit(True)).alias("leads")))
+
+
+def near_groups(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+                ) -> DataFrame:
+    """One row per document: ``doc_id``, ``class_id`` (the least doc_id of its group),
+    ``n_copies`` (rows with its very text, itself included), ``n_links`` (other rows, copies
+    included, that reach the threshold) and ``n_text_links`` (other texts that do)."""
+    per_copy = near_classes(docs, threshold, tolerance).withColumnRenamed("copy", "copy_")
+    rows = docs.select(F.col("doc_id").cast("long"), _copy().alias("copy"))
+    out = rows.join(per_copy, F.col("copy") == F.col("copy_"), "left")
     one = F.coalesce(F.col("copies"), F.lit(1))
     return out.select(
-        "doc_id", F.coalesce("group", "doc_id").alias("class_id"), one.alias("n_copies"),
+        "doc_id", F.when(F.col("copy_").isNull(), F.col("doc_id"))
+        .otherwise(F.col("class_id")).alias("class_id"), one.alias("n_copies"),
         (one - 1 + F.coalesce(F.col("near_docs"), F.lit(0))).alias("n_links"),
-        F.coalesce(F.col("near_texts"), F.lit(0)).cast("long").alias("n_text_links"))
+        F.coalesce(F.col("near_texts"), F.lit(0)).alias("n_text_links"))
+
+
+def first_of_groups(docs: DataFrame) -> DataFrame:
+    """``docs`` with one row per near-duplicate group: of the group's text with the least doc_id
+    the row with the least doc_id. Rows whose text is null or holds no word all stay."""
+    columns = docs.columns
+    copy, rank = _free("copy", columns), _free("rank", columns)
+    leads = (near_classes(docs.select("doc_id", "text")).where("leads")
+             .select(F.col("copy").alias(copy)))
+    has_word = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    order = Window.partitionBy(copy).orderBy(F.col("doc_id").asc_nulls_last())
+    kept = (docs.where(has_word).withColumn(copy, _copy()).join(leads, copy, "left_semi")
+            .withColumn(rank, F.row_number().over(order)).where(F.col(rank) == 1))
+    return kept.select(*columns).unionByName(docs.where(~has_word))
+
+
+def _free(name: str, taken: list[str]) -> str:
+    """A column name that nobody has."""
+    return name + "_" * (1 + max(map(len, taken), default=0))

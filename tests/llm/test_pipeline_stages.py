@@ -91,3 +91,56 @@ def test_packing_parts_are_bounded_by_pieces(spark):
     for r in rows:
         parts.setdefault(r["bin_id"].rsplit("-", 1)[0], []).append(r)
     assert len(rows) == 54 and max(map(len, parts.values())) <= 4
+
+
+def test_near_duplicates_keeps_strangers_with_one_id(spark, sf_dir):
+    """Texts decide, not ids: unrelated texts under one doc_id stay, copies under several go."""
+    import random
+
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(80)) for _ in range(4)]
+    near = texts[2].rsplit(" ", 1)[0] + " other"
+    rows = [(1, texts[0], 1), (1, texts[1], 2), (2, texts[2], 3), (3, near, 4), (4, texts[2], 5),
+            (None, texts[3], 6), (None, texts[0], 7), (5, None, 8), (None, None, 9), (6, " ", 10),
+            (6, " ", 11), (1, texts[0], 12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, copy int")
+    kept = cp.near_duplicates(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert got == sorted([(False, 1, texts[0]), (False, 1, texts[1]), (False, 2, texts[2]),
+                          (True, 0, texts[3]), (False, 5, ""), (True, 0, ""), (False, 6, " "),
+                          (False, 6, " ")])
+
+
+def test_run_as_registered(spark, sf_dir):
+    """The whole pipeline over its whole table; the stages above say what it must hold."""
+    import __spark_entry__ as contract
+
+    rows = contract.queries()["pipeline"](spark, sf_dir).collect()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = store(stage(spark, docs, sf_dir), name)
+    words = {}
+    for d, t in _rows(docs):
+        words[d] = words.get(d, 0) + len(brute.words(t))
+    got = {}
+    for r in rows:
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == words
+
+
+def test_copies_of_a_hot_text_are_counted_in_stretches(spark):
+    from pyspark.sql import functions as F
+
+    from querytrail.llm import packing
+
+    rows = spark.range(500).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("doc_id"),
+        (F.col("id") % 2).alias("text_"), F.col("id").alias("position"))
+    got = packing.with_copy(rows, ["doc_id", "text_"], 30).collect()
+    seen = {}
+    for r in sorted(got, key=lambda r: r["position"]):
+        key = (r["doc_id"], r["text_"])
+        assert r["copy"] == seen.get(key, 0)
+        seen[key] = r["copy"] + 1
+    assert len(got) == 500
