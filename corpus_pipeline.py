@@ -6,7 +6,7 @@ again by the next. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from querytrail.llm import jaccard, ledger, mixing, packing, spans
@@ -23,16 +23,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the least doc_id, and of rows that share
-    it the least text; rows without doc_id stay."""
+    """Of each group of near copies the row with the least doc_id. Groups are of texts, so rows
+    that share a doc_id but not the text are strangers; rows without text stay."""
     prepare(spark)
-    groups = jaccard.near_groups(docs.select("doc_id", "text"))
-    first = groups.where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
-    row = "row_" + "_" * max(map(len, docs.columns))  # a name that no column has
-    one = (docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-           .withColumn(row, F.row_number().over(order)).where(F.col(row) == 1))
-    return one.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    return jaccard.first_of_groups(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,8 +60,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = in_file_order(docs.select("doc_id", "text"), "packing-in").select(
         "doc_id", F.xxhash64("text").alias("text_"), word_count(F.col("text")).alias("n_words"),
         "position")
-    same = Window.partitionBy("doc_id", "text_").orderBy("position")
-    return packing.pack_in_order(rows.withColumn("copy", F.row_number().over(same) - 1))
+    return packing.pack_in_order(packing.with_copy(rows, ["doc_id", "text_"]))
 
 
 STAGES = [
