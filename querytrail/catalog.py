@@ -16,7 +16,7 @@ from querytrail.operators import (asof, batches, matching, merge, metrics, rollu
 from querytrail.plans import compaction, facts, reports, retention, tiers, views
 from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, DNS_BATCH
 from querytrail.session import scratch_dir, ship_package
-from querytrail.sources import codec, lists, messages
+from querytrail.sources import codec, indexed, lists, messages
 from querytrail.sources.facts import commit, read_facts, write_delta
 from querytrail.streaming import enrich, sink, stateful
 from querytrail.streaming import metrics as stream
@@ -179,13 +179,18 @@ def _csv_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def rules_csv_import(spark, sf):
-    path = scratch_dir(spark, "rules-csv")
+    """A first file with its title, and the rest in as many files as it takes."""
+    first, rest = scratch_dir(spark, "rules-csv"), scratch_dir(spark, "rules-csv")
+    lines = _csv_lines(spark, sf)
     title = spark.createDataFrame([(-1, ",".join(lists.CSV_TITLES)), (-2, "   ")],
                                   "seq long, value string")
-    (title.unionByName(_csv_lines(spark, sf)).repartitionByRange(1, "seq")
-     .sortWithinPartitions(F.col("seq") >= 0, "seq").select("value")
-     .write.text(path))
-    return rules.normalize_rules_csv(lists.read_rules_csv(spark, path)).drop("file", "seq")
+    (title.unionByName(lines.filter(F.col("seq") < 10)).coalesce(1)
+     .sortWithinPartitions(F.col("seq") >= 0, "seq").select("value").write.text(first))
+    (lines.filter(F.col("seq") >= 10).repartitionByRange("seq").sortWithinPartitions("seq")
+     .select("value").write.text(rest))
+    rows = lists.read_rules_csv(spark, first).unionByName(
+        lists.read_rules_csv(spark, rest, header=False))
+    return rules.normalize_rules_csv(rows).drop("file", "seq")
 
 
 @query
@@ -722,6 +727,21 @@ def lookup_by_key_category(spark, sf):
     return rollups.rows_of_client(fx.category_hourly(spark, sf), "c7")
 
 
+@query
+def lookup_by_key_stored(spark, sf):
+    """One client's hours from facts laid out for lookups: one part is opened."""
+    path = scratch_dir(spark, "indexed")
+    indexed.write_indexed(fx.client_hourly(spark, sf), path, "client_hash")
+    return indexed.lookup(spark, path, "client_hash", "c7")
+
+
+@query
+def lookup_by_domain_stored(spark, sf):
+    path = scratch_dir(spark, "indexed")
+    indexed.write_indexed(fx.domain_hourly(spark, sf), path, "domain")
+    return indexed.lookup(spark, path, "domain", "d7.example")
+
+
 @query
 def rules_by_status(spark, sf):
     return rules.rules_by_status(fx.domain_rules(spark, sf)).select(
@@ -1338,10 +1358,19 @@ def policy_decision_as_of(spark, sf):
             "rule_domain", "blocked")
 
 
-@query
-def clients_over_rate_sliding(spark, sf):
+def _folded(spark: SparkSession, sf: str) -> DataFrame:
     """The events folded into twenty seconds, so that a second is a second."""
     folded = F.timestamp_micros(F.lit(1704067200000000)
                                 + F.col("event_id") * 7919 % 20000 * 1000)
-    return reports.clients_over_rate_sliding(
-        fx.prepared_events(spark, sf).withColumn("ts", folded), 5, chunk_us=3_000_000)
+    return fx.prepared_events(spark, sf).withColumn("ts", folded)
+
+
+@query
+def clients_over_rate_second(spark, sf):
+    return reports.clients_over_rate(_folded(spark, sf), 4)
+
+
+@query
+def clients_over_rate_sliding(spark, sf):
+    """Chunks of three seconds, so that there are several."""
+    return reports.clients_over_rate_sliding(_folded(spark, sf), 5, chunk_us=3_000_000)

@@ -19,19 +19,21 @@ def batch_start(minute: Column) -> Column:
     return seconds - seconds % F.lit(BATCH_SECONDS)
 
 
-def client_part(client_hash: Column) -> Column:
-    """The part of a batch that a client belongs to: the first digit of its hash.
+def client_part(client_hash: Column, digits: int = 1) -> Column:
+    """The part of a batch that a client belongs to: the first digits of its hash.
 
-    Sixteen parts (one more for unknown clients) at every size, so that the same ten minutes
-    always have the same batch ids."""
-    return F.substring(client_hash, 1, 1)
+    Sixteen parts per digit (one more for unknown clients) at every size, so that the same ten
+    minutes always have the same batch ids."""
+    return F.substring(client_hash, 1, digits)
 
 
-def assemble_batches(cube: DataFrame, k: int = TOP_K) -> DataFrame:
+def assemble_batches(cube: DataFrame, k: int = TOP_K, digits: int = 1) -> DataFrame:
     """Nest an event cube into one row per resolver, ten minutes and client part.
 
-    Every batch is split by client, so that a busy resolver is not one huge row. A part carries the resolver counters of its own clients: merging all parts gives the same
-    facts as merging the whole batch.
+    Every batch is split by client, so that a busy resolver is not one huge row. A part carries
+    the resolver counters of its own clients: merging all parts gives the same facts as merging
+    the whole batch. A deployment with more clients per resolver takes more ``digits``, sixteen
+    times the parts each: once and for all, since batch ids name the part.
 
     The cube is read three times: pass a stored one, not a query over raw events.
     """
@@ -51,7 +53,7 @@ def assemble_batches(cube: DataFrame, k: int = TOP_K) -> DataFrame:
                    F.col("domain_rank").alias("rank"), "domain",
                    F.col("total_queries").alias("count"),
                    F.col("blocked_queries").alias("blocked_count")))).alias("ranked")))
-    part = client_part(F.col("client_hash"))
+    part = client_part(F.col("client_hash"), digits)
     entries = (clients.join(categories, _CLIENT, "left").join(domains, _CLIENT, "left")
                .select(
                    "resolver_id", batch_start(F.col("minute_timestamp")).alias("batch_start"),

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from querytrail.functions.domains import (domain_suffixes, has_empty_label, label_count,
                                           normalize_domain, suffix_count,
                                           strip)
+from querytrail.session import scratch_dir
 
 SALTS = 16
 WAYS = ("lookup", "distinct")
@@ -168,15 +169,31 @@ def policy_decision(df: DataFrame, rules: DataFrame | None, blocked: DataFrame |
     ``way="lookup"`` joins the rows to the policy table once per label count; it is the only way
     for a stream. ``way="distinct"`` decides each distinct domain once and joins back by salted
     joins, over the columns ``spread``, which should differ within one domain. Without ``way`` a
-    stream takes the first, other rows the second; sizes never decide.
+    stream takes the first, other rows the second; sizes never decide. The policy table is stored
+    first, as the ways look at it several times.
     """
+    table = policy_table(rules, blocked, as_of)
+    path = scratch_dir(df.sparkSession, "policy")
+    _check_way(df, way)
+    table.write.parquet(path)
+    return decide(df, df.sparkSession.read.schema(table.schema).parquet(path), domain, spread,
+                  way, salts)
+
+
+def _check_way(df: DataFrame, way: str | None) -> str:
     way = way or ("lookup" if df.isStreaming else "distinct")
     if way not in WAYS:
         raise ValueError(f"way is one of {WAYS}, not {way}")
     if way == "distinct" and df.isStreaming:
         raise ValueError("a stream needs way='lookup'")
-    table = policy_table(rules, blocked, as_of)
-    depths = _label_counts(table)
+    return way
+
+
+def decide(df: DataFrame, table: DataFrame, domain: str = "domain",
+           spread: list[str] | None = None, way: str | None = None, salts: int = SALTS
+           ) -> DataFrame:
+    """``policy_decision`` by a policy table that is stored already."""
+    way, depths = _check_way(df, way), _label_counts(table)
     if way == "lookup":
         return _decide_lookup(df, domain, table, depths)
     return _decide_distinct(df, domain, table, depths, spread or df.columns, salts)

@@ -742,3 +742,11 @@ ORACLES["clients_over_rate_sliding"] = f"""WITH {_PE}, folded AS (
 n AS (SELECT *, count(*) OVER (PARTITION BY client_hash ORDER BY ts
   RANGE BETWEEN INTERVAL 999999 MICROSECONDS PRECEDING AND CURRENT ROW) AS queries FROM folded)
 SELECT client_hash, event_id, ts, queries, queries - 5 AS over_limit FROM n WHERE queries > 5"""
+
+ORACLES["lookup_by_key_stored"] = ORACLES["lookup_by_key_hourly"]
+ORACLES["lookup_by_domain_stored"] = f"""WITH {_FB0} SELECT hour_timestamp, client_hash, domain,
+{_S2} FROM fb WHERE domain = 'd7.example' GROUP BY ALL"""
+
+ORACLES["clients_over_rate_second"] = f"""WITH {_PE}
+SELECT client_hash, date_trunc('second', epoch_ms(1704067200000 + event_id * 7919 % 20000)) AS second,
+  count(*) AS queries, count(*) - 4 AS over_limit FROM pe GROUP BY 1, 2 HAVING count(*) > 4"""

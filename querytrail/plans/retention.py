@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from querytrail.operators import rollups
 from querytrail.operators.metrics import sum_counters
-from querytrail.schemas import COUNTERS, COUNTERS_LATENCY
+from querytrail.schemas import COUNTERS, COUNTERS_LATENCY, FACT_KEYS
 from querytrail.sources import paths
 from querytrail.sources.facts import (ROLLOVER_LOG, drop_epochs, finished_rollovers,
                                       last_committed, read_deltas, read_facts, rolled_epochs,
-                                      up_to, write_delta)
+                                      stored_schema, up_to, write_delta)
 
 HOURLY_TABLES = ["resolver_hourly_stats", "client_hourly_stats", "client_category_hourly",
                  "client_top_domains_hourly"]
@@ -85,10 +85,18 @@ def roll_up(spark: SparkSession, root: str, as_of: datetime) -> int:
         # Whole months by partition, so that nothing of the current month is read.
         return read_deltas(spark, root, table).filter((F.col("month") < month) & up_to(last))
 
+    # Hours are read once, for the days; months are added up from the days just written.
     tables = rollover_tables(pinned("resolver_hourly_stats"), pinned("client_hourly_stats"),
                              cutoff)
-    for table, rows in tables.items():
-        write_delta(rows, root, table, run)
+    for kind, counters in (("resolver", COUNTERS_LATENCY), ("client", COUNTERS)):
+        table = f"{kind}_daily_stats"
+        write_delta(tables[table], root, table, run)
+        days = (spark.read.schema(stored_schema(table)).parquet(f"{root}/{table}")
+                .filter(F.col("epoch") == run))
+        keys = [F.date_format("date_timestamp", "yyyy-MM").alias("year_month"),
+                *FACT_KEYS[table][1:]]
+        write_delta(days.groupBy(*keys).agg(*sum_counters(counters)), root,
+                    f"{kind}_monthly_stats", run)
     (spark.createDataFrame(list(last.items()), "stream string, last_epoch long")
      .coalesce(1).write.mode("overwrite").parquet(log))
     return run

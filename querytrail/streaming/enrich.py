@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytrail.operators.matching import policy_decision
+from querytrail.operators.matching import decide, policy_table
 from querytrail.sources.lists import latest_rule_version, read_rule_snapshot
 from querytrail.sources.paths import exists, is_complete
 
@@ -24,6 +24,14 @@ def _version_of(spark: SparkSession, rules_root: str, note: str) -> int:
     return version
 
 
+def _policy_of(spark: SparkSession, rules_root: str, version: int, path: str) -> DataFrame:
+    """The policy table of a version, worked out once per stream."""
+    if not is_complete(spark, path):
+        policy_table(*read_rule_snapshot(spark, rules_root, version)).write.mode(
+            "overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_decisions(events: DataFrame, rules_root: str, path: str, checkpoint: str):
     """Each micro-batch is matched against the newest complete rule snapshot.
 
@@ -32,21 +40,21 @@ def write_decisions(events: DataFrame, rules_root: str, path: str, checkpoint: s
     micro-batch that is done again replaces its own rows. The version of its first attempt is
     kept below ``versions`` and in each row as ``rule_version``, so that a repeat decides alike.
     """
-    def decide(rows: DataFrame, epoch: int) -> None:
+    def write(rows: DataFrame, epoch: int) -> None:
         spark = rows.sparkSession
         stream = spark.sparkContext.getLocalProperty("sql.streaming.queryId")
         if not stream:
             raise RuntimeError("no streaming query runs here")
         part = f"stream={stream}/epoch={epoch}"
         version = _version_of(spark, rules_root, f"{path}/versions/{part}")
-        rules, blocked = read_rule_snapshot(spark, rules_root, version)
+        table = _policy_of(spark, rules_root, version,
+                           f"{path}/policy/stream={stream}/version={version}")
         # A micro-batch is matched by joins of its rows alone, read once.
-        (policy_decision(rows, rules, blocked, way="lookup")
+        (decide(rows, table, way="lookup")
          .withColumn("rule_version", F.lit(version).cast("long"))
          .write.mode("overwrite").parquet(f"{path}/decisions/{part}"))
 
-    return (events.writeStream.foreachBatch(decide)
-            .option("checkpointLocation", checkpoint))
+    return events.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:

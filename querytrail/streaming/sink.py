@@ -93,10 +93,14 @@ def _apply(batches: DataFrame, epoch: int, root: str, stream: str,
     # From here on readers trust the commits, so a first epoch is not seen half-written.
     spark = batches.sparkSession
     make_folder(spark, f"{root}/{COMMITS}")
-    fresh = unseen_batches(batches, root)
-    take(fresh, epoch, root, stream)
-    _write_by_day(fresh.select("batch_id", _batch_day().alias("batch_day")), f"{root}/{LEDGER}",
-                  epoch, stream)
+    # Each table and the ledger are written from it.
+    fresh = unseen_batches(batches, root).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        take(fresh, epoch, root, stream)
+        _write_by_day(fresh.select("batch_id", _batch_day().alias("batch_day")),
+                      f"{root}/{LEDGER}", epoch, stream)
+    finally:
+        fresh.unpersist()
     commit(spark, root, epoch, stream)
 
 

@@ -282,16 +282,16 @@ def test_decisions_keep_their_version_when_done_again(spark, tmp_path, monkeypat
 
     from querytrail.sources.lists import write_rule_snapshot
     write_rule_snapshot(_rules(spark, [("a.org", "BLOCK")]), none, root, 1)
-    real, calls = enrich.policy_decision, []
+    real, calls = enrich.decide, []
 
     def dies(*a, **k):
         calls.append(1)
         raise RuntimeError("lost the driver")
 
-    monkeypatch.setattr(enrich, "policy_decision", dies)
+    monkeypatch.setattr(enrich, "decide", dies)
     with pytest.raises(Exception, match="lost the driver"):
         run("c1")
-    monkeypatch.setattr(enrich, "policy_decision", real)
+    monkeypatch.setattr(enrich, "decide", real)
     write_rule_snapshot(_rules(spark, [("a.org", "ALLOW")]), none, root, 2)
     run("c1")
     rows = enrich.read_decisions(spark, path).collect()
