@@ -33,7 +33,7 @@ from querytrail.llm.common import store
 from querytrail.llm.wordhash import _SEP, STRETCH, mix, word_hashes
 
 U = np.uint64
-TOKENS, PER_RANGE = 2_000_000, 250_000
+TOKENS, PER_RANGE = 1_200_000, 250_000
 #: Parts of the corpus: counted, deleted (counted last), held out.
 COUNTED, DELETED, HELD_OUT = 0, 1, 2
 #: The end token, and what stands before a text's first token. Words have even keys, pairs odd.
