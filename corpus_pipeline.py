@@ -57,9 +57,10 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     ``position`` is the row's number in the order that the mix has written, ``copy`` counts the
     rows with the same doc_id and text in it; shards are stretches of that order."""
     prepare(spark)
-    rows = in_file_order(docs.select("doc_id", "text"), "packing-in").select(
-        "doc_id", F.xxhash64("text").alias("text_"), word_count(F.col("text")).alias("n_words"),
-        "position")
+    # Texts are looked at where they lie; what is placed and shuffled is narrow.
+    narrow = docs.select("doc_id", F.xxhash64("text").alias("text_"),
+                         word_count(F.col("text")).alias("n_words"))
+    rows = in_file_order(narrow, "packing-in")
     return packing.pack_in_order(packing.with_copy(rows, ["doc_id", "text_"]))
 
 
