@@ -16,7 +16,7 @@ import numpy as np
 import regex
 
 _CUT = re.compile(r"(?<=\S)(?= \S)")
-REMEMBERED = 900_000
+REMEMBERED = 1_500_000
 #: Words encoded in one call's text, and marks that the pattern takes together behind a word.
 JOINED, MARKS = 256, "!\"#$%&()*+,-./:;<=>?@[]^`{|}~"
 #: The sign that stands for a blank in the vocabulary.
