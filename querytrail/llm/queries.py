@@ -120,7 +120,7 @@ def op7_best_fit_packing(spark, sf):
 
 @query
 def op8_nearest(spark, sf):
-    rows = store(ann.usable(table(spark, sf, "embeddings")), "ann-usable")
+    rows = ann.usable(table(spark, sf, "embeddings"))
     return ann.nearest(rows, ann.asked(rows))
 
 

@@ -23,7 +23,7 @@ from querytrail.llm import (
 )
 from querytrail.llm import queries as q
 from querytrail.llm.common import store
-from querytrail.llm.encode import encoder, pieces
+from querytrail.llm.encode import encoder, lines, words_apart
 from querytrail.llm.wordhash import minimizers, window_hashes, word_hashes
 from querytrail.session import scratch_dir
 
@@ -82,6 +82,29 @@ def test_curve_is_inverted(spark):
     assert got == pytest.approx(ts, abs=1e-6)
 
 
+def test_mix_spreads_a_hot_row(spark):
+    """A third of all rows are one row, another third has no id: targets hold, parts are small."""
+    docs = spark.range(0, 6000, 1, 4).select(
+        F.when(F.col("id") % 3 == 0, 5).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "same words here")
+        .otherwise(F.concat_ws(" ", F.lit("w"), "id")).alias("text"),
+        F.element_at(F.array(*map(F.lit, "abc")), (F.col("id") % 2 + 1).cast("int"))
+        .alias("source"))
+    planned = mixing.plan(docs)
+    rows = mixing.training_order(planned).where("copy is not null").collect()
+    sizes = {"a": 0, "b": 0}
+    for r in docs.collect():
+        sizes[r["source"]] += len(brute.words(r["text"]))
+    want, taken = brute.mix_targets(sizes), {"a": 0, "b": 0}
+    for r in rows:
+        taken[r["source"]] += r["size"]
+    assert all(abs(taken[s] - want[s]) <= 3 for s in taken)
+    # Words before a row: each place of a source is held by one row.
+    for s in sizes:
+        spans = sorted((r["before"], r["size"]) for r in planned.where(F.col("source") == s).collect())
+        assert [b for b, _ in spans] == np.cumsum([0, *[n for _, n in spans[:-1]]]).tolist()
+
+
 def test_mix_of_nothing(none):
     assert _mixed(none) == []
 
@@ -104,14 +127,55 @@ def test_language_odd_rows(odd, none):
     prototypes = langid.fit(odd)
     got = langid.predict(odd, prototypes).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == odd.count() and set(prototypes) == {"de", "en", "fr", "xx"}
+    names = {r["lang"] for r in prototypes.collect()}
+    assert len(got) == odd.count() and names == {"de", "en", "fr", "xx"}
     for d in (3, 4, 5):
         assert (by[d]["lang_pred"], by[d]["score"]) == ("und", 0.0)
-    assert by[1]["lang_pred"] in prototypes
-    assert langid.fit(none) == {} and langid.predict(none, {}).collect() == []
-    assert {r["lang_pred"] for r in langid.predict(odd, {}).collect()} == {"und"}
-    with pytest.raises(ValueError):
-        langid.fit(odd, max_languages=2)
+    assert by[1]["lang_pred"] in names
+    nothing = langid.fit(none)
+    assert nothing.collect() == [] and langid.predict(none, nothing).collect() == []
+    assert {r["lang_pred"] for r in langid.predict(odd, nothing).collect()} == {"und"}
+
+
+def _profile(space, text):
+    """Bundle of a text, letter by letter."""
+    seq, out = langid.letters(text), np.zeros(space.dims)
+    for i in range(len(seq) - space.n + 1):
+        v = np.ones(space.dims)
+        for k in range(space.n):
+            v = v * np.roll(langid._letter(space, int(seq[i + k])), space.n - 1 - k)
+        out += v
+    return out
+
+
+@pytest.mark.parametrize("block", [1000, 3])
+def test_language_equals_plain_profiles(spark, monkeypatch, block):
+    """Predictions and scores, also where there are more languages than a block holds."""
+    import random
+
+    rng = random.Random(4)
+    space = langid.Space(dims=128)
+    langs = [f"l{i}" for i in range(8)]
+    own = {x: "".join(rng.sample("abcdefghijklmnopqrstuvwxyzé", 6)) for x in langs}
+    rows = [(d, langs[d % 8], " ".join("".join(rng.choices(own[langs[d % 8]], k=5))
+                                       for _ in range(d % 5))) for d in range(60)]
+    monkeypatch.setattr(langid, "LANGUAGES", block)
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").repartition(3)
+    want = {}
+    for _, x, t in rows:
+        want[x] = want.get(x, 0) + _profile(space, t)
+    unit = {x: v / np.linalg.norm(v) for x, v in want.items()}
+    got = langid.predict(df, langid.fit(df, space), space).collect()
+    assert len(got) == len(rows)
+    text = {d: t for d, _, t in rows}
+    for r in got:
+        v = _profile(space, text[r["doc_id"]])
+        if not text[r["doc_id"]]:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = {x: float(v @ u) / np.linalg.norm(v) for x, u in unit.items()}
+        assert r["score"] == pytest.approx(min(max(max(cos.values()), 0), 1), abs=1e-9)
+        assert cos[r["lang_pred"]] == pytest.approx(max(cos.values()), abs=1e-9)
 
 
 def test_bundle_is_the_sum_of_bound_letters(monkeypatch):
@@ -140,7 +204,8 @@ def test_pieces_encode_like_whole_texts(tokenizer, pairs):
            "<|endoftext|> a<|endoftext|>  b", "a  b   c", "\x1c a \x1c b", "é 𝄞  \x85 ü",
            "w" * 200 + " " + "w" * 200, "don't 12 3.5,6 $$$ \r\n\r\n z"]
     texts = odd + [t for _, t in pairs]
-    assert all(" ".join(pieces(t)) == t for t in texts)
+    assert all("\n".join(" ".join(p) for p in lines(t)) == t for t in texts)
+    assert all(" ".join(words_apart(t)) == t for t in texts)
     for t, got in zip(texts, enc.encode(texts), strict=True):
         want = tokenizer.encode(t, add_special_tokens=False).ids
         assert np.frombuffer(got, "<u4").tolist() == want
@@ -337,7 +402,9 @@ def test_near_groups_odd_rows(odd, none):
     assert by[9]["class_id"] == 8 and by[8]["n_links"] == 2 and by[8]["n_text_links"] == 1
     assert by[9]["n_copies"] == 2 and by[7]["class_id"] == 6 and by[12]["class_id"] == 11
     assert all(by[d]["n_links"] == 0 and by[d]["class_id"] == d for d in (3, 4, 5, 10))
-    assert all(r["class_id"] is None for r in rows if r["doc_id"] is None)
+    # Rows without id are compared like others: one is near the texts 1 and 2, one has no text.
+    assert sorted(str(r["class_id"]) for r in rows if r["doc_id"] is None) == ["1", "None"]
+    assert by[1]["n_links"] == by[2]["n_links"] == 2
     assert jaccard.near_groups(none).collect() == []
 
 
@@ -351,8 +418,9 @@ def test_pruning_keeps_what_reaches_the_threshold():
 
 # --- neighbours ------------------------------------------------------------------------
 
-def test_nearest_recall(spark, sf_dir):
-    sf = sf_dir.replace("sf0.001", "sf0.01")
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_nearest_recall(spark, sf_dir, size):
+    sf = sf_dir.replace("sf0.001", size)
     rows = [(r["vec_id"], r["embedding"]) for r in
             spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     want, got = brute.nearest(rows), {}
@@ -381,6 +449,19 @@ def test_nearest_ties_copies_and_unusable(spark):
     assert ann.nearest(empty, ann.asked(empty)).collect() == []
 
 
+def test_nearest_indexes_every_vector_of_an_id(spark):
+    """An id stored with several vectors counts by its nearest; columns may have clashing names."""
+    rows = [(50, [1.0, 0.0, 0.0]), (1, [-1.0, 0.0, 0.0]), (1, [0.995, 0.1, 0.0]),
+            (2, [0.9, 0.5, 0.0]), (2, [0.9, 0.5, 0.0]), (3, [0.0, 1.0, 0.0]),
+            (4, [0.0, 0.0, 1.0]), (5, [0.1, 0.9, 0.0]), (6, [-0.5, 0.1, 0.0])]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows],
+                               "vec_id long, embedding array<double>, tbl int, bucket int, v string")
+    usable = ann.usable(df)
+    got = ann.nearest(usable, ann.asked(usable)).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 5, 3, 4]
+    assert got[0]["score"] == pytest.approx(0.995 / np.hypot(0.995, 0.1), abs=1e-12)
+
+
 def test_nearest_in_blocks(spark, monkeypatch):
     """A bucket that holds a third of all rows is split, and equal vectors tie by id."""
     monkeypatch.setattr(ann, "BLOCK", 16)
@@ -434,6 +515,61 @@ def test_packing_odd_rows(spark):
     assert packing.pack(df.limit(0)).collect() == []
 
 
+def _plain_best_fit(lengths, capacities, overhead):
+    """Bins as lists: no sorted room, no running sums."""
+    bins, out = [], []
+    for i, x in enumerate(lengths):
+        rooms = [(b[0] - b[1], k) for k, b in enumerate(bins) if b[0] - b[1] >= x]
+        if rooms:
+            k = min(rooms)[1]
+        else:
+            def cost(c, x=x, i=i):
+                fill = min(c - x, sum(y for y in lengths[i + 1:] if y <= c - x))
+                return (overhead + c) / (x + fill)
+            c = min((c for c in sorted(capacities) if c >= x), key=lambda c: (cost(c), c))
+            k = len(bins)
+            bins.append([c, 0])
+        out.append((k, bins[k][1]))
+        bins[k][1] += x
+    return out, [min(c for c in capacities if c >= used) for _, used in bins]
+
+
+def test_best_fit_equals_the_plain_version():
+    rng = np.random.default_rng(11)
+    for n in (0, 1, 7, 60, 200):
+        lengths = sorted(rng.integers(1, 4097, n).tolist(), reverse=True)
+        place, offset, final = packing.best_fit(lengths, packing.CAPACITIES, packing.OVERHEAD)
+        want, caps = _plain_best_fit(lengths, packing.CAPACITIES, packing.OVERHEAD)
+        assert list(zip(place, offset, strict=True)) == want and final == caps
+
+
+def test_packing_equals_the_plain_version_by_shard(spark, sf_dir):
+    """Each shard of the registered query, packed again without any shortcut."""
+    rows = [r for r in q.QUERIES["op7_best_fit_packing"](spark, sf_dir).collect()
+            if r["bin_id"] is not None]
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["bin_id"].rsplit("-", 1)[0], []).append(r)
+    for rs in shards.values():
+        rs.sort(key=lambda r: (-r["length"], r["doc_id"], r["piece"]))
+        want, caps = _plain_best_fit([r["length"] for r in rs], packing.CAPACITIES,
+                                     packing.OVERHEAD)
+        assert [(int(r["bin_id"].rsplit("-", 1)[1]), r["offset"]) for r in rs] == want
+        assert [r["capacity"] for r in rs] == [caps[k] for k, _ in want]
+
+
+def test_packing_spreads_equal_rows(spark):
+    """Rows without id and of one length spread over shards."""
+    df = spark.range(0, 6000, 1, 4).select(F.lit(None).cast("long").alias("doc_id"),
+                                           F.lit(7).alias("n_words"))
+    rows = packing.pack(df, rows_per_shard=500).collect()
+    shards = {}
+    for r in rows:
+        s = r["bin_id"].split("-")[0]
+        shards[s] = shards.get(s, 0) + 1
+    assert len(rows) == 6000 and len(shards) == 12 and max(shards.values()) < 700
+
+
 def test_best_fit_takes_the_snuggest_room():
     place, offset, final = packing.best_fit([1000, 900, 110, 20, 4], (512, 1024))
     assert final[place[0]] == 1024 and place[2] == place[1] and place[3] == place[0]
