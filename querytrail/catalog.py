@@ -748,6 +748,23 @@ def rules_by_status(spark, sf):
         "domain", "action", "match_type")
 
 
+def _categories(spark: SparkSession, sf: str) -> DataFrame:
+    """Categories of the rules, and those of the pages, some of which no rule has."""
+    names = F.array(*[F.lit(n) for n in ("MALWARE", "SOCIAL", "", "ADS")])
+    return rules.list_categories(fx.domain_rules(spark, sf), _pages(spark, sf).select(
+        F.get(names, (F.col("page_id") % 4).cast("int")).alias("name")))
+
+
+@query
+def list_categories(spark, sf):
+    return _categories(spark, sf)
+
+
+@query
+def category_by_name(spark, sf):
+    return rules.category_by_name(_categories(spark, sf), "MALWARE")
+
+
 @query
 def publish_rule_snapshot(spark, sf):
     """The blocked set of the published version."""

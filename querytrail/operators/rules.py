@@ -162,6 +162,24 @@ def rules_by_status(rules: DataFrame, status: str = "ACTIVE") -> DataFrame:
     return rules.filter(F.col("status") == status)
 
 
+def list_categories(rules: DataFrame, categories: DataFrame | None = None) -> DataFrame:
+    """The category dimension by name, with the rules that carry each and those of them that are
+    active. ``categories`` (``name``) may name some without a rule; blank names are none."""
+    named = rules.filter(is_present(F.col("category"))).select(
+        F.col("category").alias("name"), F.lit(1).alias("rule"),
+        (F.upper("status") == "ACTIVE").cast("int").alias("active"))
+    if categories is not None:
+        named = named.unionByName(categories.filter(is_present(F.col("name"))).select(
+            "name", F.lit(0).alias("rule"), F.lit(0).alias("active")))
+    return named.groupBy("name").agg(F.sum("rule").alias("rules"),
+                                     F.coalesce(F.sum("active"), F.lit(0)).alias("active_rules"))
+
+
+def category_by_name(categories: DataFrame, name: str) -> DataFrame:
+    """The category of exactly that name."""
+    return categories.filter(F.col("name") == name)
+
+
 def rule_snapshot(rules: DataFrame, entries: DataFrame | None = None,
                   mode: str = "compat") -> tuple[DataFrame, DataFrame]:
     """The complete active rules and the blocked set that goes with them."""

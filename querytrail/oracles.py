@@ -750,3 +750,13 @@ ORACLES["lookup_by_domain_stored"] = f"""WITH {_FB0} SELECT hour_timestamp, clie
 ORACLES["clients_over_rate_second"] = f"""WITH {_PE}
 SELECT client_hash, date_trunc('second', epoch_ms(1704067200000 + event_id * 7919 % 20000)) AS second,
   count(*) AS queries, count(*) - 4 AS over_limit FROM pe GROUP BY 1, 2 HAVING count(*) > 4"""
+
+ORACLES["list_categories"] = f"""WITH {_RULES}, named AS (
+  SELECT CASE WHEN action = 'ALLOW' THEN 'WHITELIST' ELSE 'MALWARE' END AS name, 1 AS rule,
+         CAST(status = 'ACTIVE' AS INT) AS active FROM rules
+  UNION ALL SELECT CASE page_id % 4 WHEN 0 THEN 'MALWARE' WHEN 1 THEN 'SOCIAL' ELSE 'ADS' END, 0, 0
+  FROM pages WHERE page_id % 4 <> 2)
+SELECT name, CAST(sum(rule) AS BIGINT) AS rules, CAST(sum(active) AS BIGINT) AS active_rules
+FROM named GROUP BY name"""
+ORACLES["category_by_name"] = (
+    f"SELECT * FROM ({ORACLES['list_categories']}) WHERE name = 'MALWARE'")
