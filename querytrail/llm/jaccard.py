@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querytrail.llm.common import store
+from querytrail.llm.common import numbered, store
 from querytrail.llm.wordhash import mix, window_hashes, word_hashes
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
@@ -216,10 +216,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, tolerance: float
     rows = docs.select(F.col("doc_id").cast("long"), "text", _copy().alias("copy"))
     named = rows.where(F.col("text").isNotNull())
     sketched = named.mapInArrow(_bands, "doc_id long, copy binary, bands array<long>")
-    classes = store(sketched.groupBy("copy").agg(
+    # Numbers follow the least doc_id: what many near copies were made from mostly comes first,
+    # and as the least of its bands it gathers them round one hub.
+    by_copy = sketched.groupBy("copy").agg(
         F.min("doc_id").alias("doc"), F.count("*").alias("copies"),
         F.first("bands").alias("bands"))
-        .withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+    classes = numbered(by_copy, [F.col("doc").asc_nulls_last(), F.col("copy")],
+                       "jaccard-classes").withColumnRenamed("number", "node")
     shared = classes.select("node", F.explode("bands").alias("band"))
     met = (shared.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("least"))
            .where("n > 1"))
