@@ -9,6 +9,14 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+# State that holds several columns and timers, beyond the heap, with changes written per
+# micro-batch instead of snapshots.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 # Settings the library is tuned for. On a cluster pass the size-dependent ones
 # (shuffle partitions, memory) through spark-submit; these are plain defaults.
 DEFAULTS = {
@@ -21,10 +29,7 @@ DEFAULTS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # Window state beyond the heap, with changes written per micro-batch instead of snapshots.
-    "spark.sql.streaming.stateStore.providerClass":
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    **STATE_STORE,
 }
 
 
@@ -40,6 +45,15 @@ def build_session(app_name: str = "querytrail", master: str | None = None,
     return spark
 
 
+def use_state_store(spark: SparkSession) -> None:
+    """Give the session a state store that operators with timers can use, in place of Spark's
+    default, which cannot. A streaming query takes it when it first starts and keeps it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(name).endswith(".HDFSBackedStateStoreProvider"):
+        for key, value in STATE_STORE.items():
+            spark.conf.set(key, value)
+
+
 _shipped: set[str] = set()
 
 

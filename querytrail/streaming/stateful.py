@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from querytrail.functions.events import is_nxdomain, is_servfail
 from querytrail.schemas import COUNTERS_LATENCY
+from querytrail.session import use_state_store
 
 HORIZON_DAYS = 14_610  # forty years
 _HORIZON = HORIZON_DAYS * 86_400_000
@@ -197,7 +198,10 @@ class MinuteFiller(_Minutes):
 
 def closed_minutes(events: DataFrame, lateness_ms: int = 0) -> DataFrame:
     """Counters per minute and resolver from a stream of prepared events, each minute once when
-    it closes and late rows as corrections. Heartbeats pass at once, as corrections of nothing."""
+    it closes and late rows as corrections. Heartbeats pass at once, as corrections of nothing.
+
+    Like ``filled_minutes`` it sets the session's state store, where that has Spark's default."""
+    use_state_store(events.sparkSession)
     return (counted(events).withWatermark("ts", f"{HORIZON_DAYS} days")
             .groupBy("resolver_id", "hour_timestamp")
             .transformWithStateInPandas(MinuteCloser(lateness_ms), CLOSED, "Append", "EventTime"))
@@ -207,6 +211,7 @@ def filled_minutes(minutes: DataFrame, lateness_ms: int = 0) -> DataFrame:
     """A row for every minute from a stream of closed minutes: a few rows a minute, so one key.
 
     Rows of a minute that was sent already, also as zeros, follow as corrections."""
+    use_state_store(minutes.sparkSession)
     ready = minutes.select(
         "minute_timestamp", F.lit(0).alias("cluster"),
         F.unix_millis("minute_timestamp").alias("minute_ms"), *_COLUMNS)

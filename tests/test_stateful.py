@@ -126,3 +126,22 @@ def test_filling_goes_on_after_a_restart(feed):
     last = START + timedelta(minutes=30)
     assert _sums(sums.filter(F.col("minute_timestamp") <= F.lit(last))) == _sums(
         metrics.zero_fill_minutes(feed.truth()))
+
+
+def test_a_session_with_the_default_state_store(feed, spark):
+    """Timers need another store than Spark's default: the operators see to it."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state."
+                         "HDFSBackedStateStoreProvider")
+    try:
+        feed.send(_rows([0, 2]))
+        feed.send(_beat(10))
+        rows = feed.run()
+        assert _sums(stateful.minute_sums(rows).filter("total_queries > 0")) == _sums(feed.truth())
+        # Both operators do, also the second one alone.
+        spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state."
+                             "HDFSBackedStateStoreProvider")
+        assert stateful.minute_sums(feed.fill()).count() >= 3
+    finally:
+        spark.conf.set(name, held)
