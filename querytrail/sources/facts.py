@@ -10,8 +10,12 @@ rollover, which is about a month, and no other level.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,6 +79,27 @@ def write_delta(rows: DataFrame, root: str, table: str, epoch: int, stream: str
      .partitionBy(*levels).parquet(f"{root}/{table}"))
 
 
+@contextmanager
+def _smaller_parts(spark: SparkSession) -> Iterator[None]:
+    """Let a rebalance split a month into parts of 8 MB, not 64: one task would sort and write
+    what many have summed."""
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    held = spark.conf.get(name)
+    spark.conf.set(name, "8m")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, held)
+
+
+def side_by_side(spark: SparkSession, writes: list[Callable[[], None]]) -> None:
+    """Run the writes of several tables at a time, so that the last tasks of one leave no cores
+    idle. Rows that they share should be persisted and filled in before."""
+    with _smaller_parts(spark), ThreadPoolExecutor(len(writes)) as pool:
+        for done in [pool.submit(inheritable_thread_target(write)) for write in writes]:
+            done.result()
+
+
 def commit(spark: SparkSession, root: str, epoch: int, stream: str = MAIN) -> None:
     """Make all epochs of the stream up to this one visible. One marker per stream is kept."""
     base = f"{root}/{COMMITS}/stream={stream}"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from querytrail.operators import metrics
 from querytrail.operators.merge import merge_aggs
 from querytrail.schemas import COUNTERS_LATENCY, DNS_BATCH, FACT_KEYS
 from querytrail.sources.codec import bad_batches, decode_batches, good_batches
-from querytrail.sources.facts import (COMMITS, LEDGER, MAIN, commit, last_committed, up_to,
-                                      write_delta)
+from querytrail.sources.facts import (COMMITS, LEDGER, MAIN, commit, last_committed, side_by_side,
+                                      up_to, write_delta)
 from querytrail.sources.paths import exists, make_folder
 
 _DEAD = "dead_letters"
@@ -80,8 +81,8 @@ def _write_by_day(batches: DataFrame, path: str, epoch: int, stream: str) -> Non
 
 
 def _merge_hourly(fresh: DataFrame, epoch: int, root: str, stream: str) -> None:
-    for table, delta in hourly_deltas(fresh).items():
-        write_delta(delta, root, table, epoch, stream)
+    side_by_side(fresh.sparkSession, [partial(write_delta, delta, root, table, epoch, stream)
+                                      for table, delta in hourly_deltas(fresh).items()])
 
 
 def _keep_nested(fresh: DataFrame, epoch: int, root: str, stream: str) -> None:
@@ -96,9 +97,10 @@ def _apply(batches: DataFrame, epoch: int, root: str, stream: str,
     # Each table and the ledger are written from it.
     fresh = unseen_batches(batches, root).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        take(fresh, epoch, root, stream)
+        # The ledger goes first: its write fills in what the tables share.
         _write_by_day(fresh.select("batch_id", _batch_day().alias("batch_day")),
                       f"{root}/{LEDGER}", epoch, stream)
+        take(fresh, epoch, root, stream)
     finally:
         fresh.unpersist()
     commit(spark, root, epoch, stream)
@@ -138,7 +140,8 @@ def _nested_or_error(batches: DataFrame) -> DataFrame:
 
 def _set_aside(decoded: DataFrame, epoch: int, root: str, stream: str) -> None:
     bad = bad_batches(decoded)
-    if not bad.isEmpty():
+    # A count reads all parts at once and so fills in what is persisted; isEmpty goes part by part.
+    if bad.count():
         bad.write.mode("overwrite").parquet(f"{root}/{_DEAD}/stream={stream}/epoch={epoch}")
 
 
