@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from querytrail.plans.retention import HOURLY_TABLES
 from querytrail.schemas import FACT_KEYS
 from querytrail.sources.facts import (COMPACTED, COMPACTION_ENTRY, COMPACTION_LOG, LEDGER,
                                       compaction_entry, drop_epochs, finished_compactions,
-                                      last_committed, read_deltas, up_to, write_delta)
+                                      last_committed, read_deltas, side_by_side, up_to, write_delta)
 from querytrail.sources.paths import delete, subfolders
 
 
@@ -72,10 +73,12 @@ def compact_months(spark: SparkSession, root: str, before: datetime,
         return None
     run = last.get(COMPACTED, -1) + 1
     if months:
+        writes = []
         for table in HOURLY_TABLES:
             rows = read_deltas(spark, root, table).filter(F.col("month").isin(months) & up_to(last))
             merged = merge_rows(rows.drop("stream", "epoch"), [*FACT_KEYS[table], "month"])
-            write_delta(merged, root, table, run, COMPACTED)
+            writes.append(partial(write_delta, merged, root, table, run, COMPACTED))
+        side_by_side(spark, writes)
     if days:
         (spark.read.schema("batch_id string, batch_day date, stream string, epoch long")
          .parquet(f"{root}/{LEDGER}")
