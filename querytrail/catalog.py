@@ -1187,9 +1187,8 @@ def _streamed_minutes(spark: SparkSession, sf: str) -> str:
     def run() -> None:
         source = (spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1)
                   .parquet(landed))
-        writer = (stateful.closed_minutes(source).writeStream.format("parquet")
-                  .option("path", path).option("checkpointLocation", ckpt))
-        _await(writer)
+        writer = stateful.write_closed(source, path, ckpt).trigger(availableNow=True)
+        stateful.start(writer, spark, spark.sparkContext.defaultParallelism).awaitTermination()
 
     for part in (events.filter(half & odd), events.filter(half & ~odd)):
         part.coalesce(1).write.mode("append").parquet(landed)
@@ -1213,8 +1212,9 @@ def stream_zero_fill(spark, sf):
     minutes, path = _streamed_minutes(spark, sf), scratch_dir(spark, "filled")
     source = (spark.readStream.schema(stateful.CLOSED).option("maxFilesPerTrigger", 20)
               .parquet(minutes))
-    _await(stateful.filled_minutes(source).writeStream.format("parquet").option("path", path)
-           .option("checkpointLocation", scratch_dir(spark, "ckpt")))
+    writer = (stateful.filled_minutes(source).writeStream.format("parquet").option("path", path)
+              .option("checkpointLocation", scratch_dir(spark, "ckpt")).trigger(availableNow=True))
+    stateful.start(writer, spark, 1).awaitTermination()
     rows = stateful.minute_sums(spark.read.schema(stateful.FILLED).parquet(path))
     last = fx.query_events(spark, sf).agg(F.date_trunc("minute", F.max("ts")).alias("last"))
     return rows.join(F.broadcast(last), F.col("minute_timestamp") <= F.col("last")).drop("last")

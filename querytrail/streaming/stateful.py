@@ -14,9 +14,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import (DataStreamWriter, StatefulProcessor, StatefulProcessorHandle,
+                                   StreamingQuery)
 
 from querytrail.functions.events import is_nxdomain, is_servfail
 from querytrail.schemas import COUNTERS_LATENCY
@@ -207,10 +208,21 @@ def closed_minutes(events: DataFrame, lateness_ms: int = 0) -> DataFrame:
             .transformWithStateInPandas(MinuteCloser(lateness_ms), CLOSED, "Append", "EventTime"))
 
 
+def write_closed(events: DataFrame, path: str, checkpoint: str, lateness_ms: int = 0):
+    """Stream writer of closed minutes. A micro-batch becomes a file per core at most, not one per
+    partition of the state: queries that follow the folder take so many files at a time."""
+    spark = events.sparkSession
+    files = min(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
+    return (closed_minutes(events, lateness_ms).repartition(files).writeStream.format("parquet")
+            .option("path", path).option("checkpointLocation", checkpoint))
+
+
 def filled_minutes(minutes: DataFrame, lateness_ms: int = 0) -> DataFrame:
     """A row for every minute from a stream of closed minutes: a few rows a minute, so one key.
 
-    Rows of a minute that was sent already, also as zeros, follow as corrections."""
+    Rows of a minute that was sent already, also as zeros, follow as corrections. One partition
+    is enough for its state, see ``start``."""
     use_state_store(minutes.sparkSession)
     ready = minutes.select(
         "minute_timestamp", F.lit(0).alias("cluster"),
@@ -219,6 +231,19 @@ def filled_minutes(minutes: DataFrame, lateness_ms: int = 0) -> DataFrame:
             .transformWithStateInPandas(MinuteFiller(lateness_ms), FILLED, "Append", "EventTime"))
 
 
+def start(writer: DataStreamWriter, spark: SparkSession, partitions: int) -> StreamingQuery:
+    """Start the writer with its state in so many partitions, or in the session's number if that
+    is less. Each partition writes state files per micro-batch, also one without keys: a query with
+    few keys needs few. A checkpoint keeps the number that its query first started with."""
+    name = "spark.sql.shuffle.partitions"
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(held), partitions)))
+    try:
+        return writer.start()  # takes a copy of the session's settings
+    finally:
+        spark.conf.set(name, held)
+
+
 def minute_sums(rows: DataFrame, *by: str) -> DataFrame:
     """Minutes with their corrections added."""
     return rows.groupBy("minute_timestamp", *by).agg(*[F.sum(c).alias(c) for c in _COLUMNS])

@@ -7,6 +7,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from querytrail import catalog
+from querytrail import fixtures as fx
 from querytrail.operators import metrics
 from querytrail.streaming import stateful
 
@@ -145,3 +147,59 @@ def test_a_session_with_the_default_state_store(feed, spark):
         assert stateful.minute_sums(feed.fill()).count() >= 3
     finally:
         spark.conf.set(name, held)
+
+
+def test_cost_of_filling_does_not_follow_the_shuffle_partitions(spark, tmp_path, monkeypatch):
+    """One key keeps its state in one partition, and closed minutes come in a few files."""
+    sf, kinds = str(tmp_path / "sf"), ["view", "click", "purchase", "signup", "error"]
+    (spark.createDataFrame(
+        [(i, START + timedelta(minutes=7 * i, seconds=i % 60), i % 5, kinds[i % 5], float(i % 9))
+         for i in range(400)],
+        "event_id long, ts timestamp, user_id long, event_type string, value double")
+     .coalesce(1).write.parquet(f"{sf}/events.parquet"))
+    (spark.createDataFrame([(i, f"https://h{i}.example/x") for i in range(3)],
+                           "page_id long, url string")
+     .coalesce(1).write.parquet(f"{sf}/pages.parquet"))
+    made = []
+
+    def folder(_, name):
+        made.append(tmp_path / f"{name}-{len(made)}")
+        return str(made[-1])
+
+    monkeypatch.setattr(catalog, "scratch_dir", folder)
+    name, cores = "spark.sql.shuffle.partitions", spark.sparkContext.defaultParallelism
+    held = spark.conf.get(name)
+    spark.conf.set(name, str(4 * cores))
+    try:
+        got = _sums(catalog.QUERIES["stream_zero_fill"](spark, sf))
+        assert spark.conf.get(name) == str(4 * cores)
+        assert got == _sums(metrics.zero_fill_minutes(
+            metrics.agg_resolver_minute(fx.prepared_events(spark, sf))))
+    finally:
+        spark.conf.set(name, held)
+    minutes, closing, filling = (at for n in ("minutes", "ckpt") for at in made
+                                 if at.name.startswith(n))
+    assert [len(list((at / "state" / "0").glob("[0-9]*"))) for at in (closing, filling)] == [
+        cores, 1]
+    batches = len(list((closing / "commits").glob("[0-9]*")))
+    assert 0 < len(list(minutes.glob("part-*"))) <= cores * batches
+
+
+def test_start_keeps_a_smaller_number_and_restarts(feed, spark):
+    feed.send(_rows([0, 2]))
+    feed.send(_beat(10))
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def run(partitions):
+        source = spark.readStream.schema(SCHEMA).parquet(feed.landed)
+        writer = stateful.write_closed(source, feed.closed, str(feed.base / "k1"))
+        query = stateful.start(writer.trigger(availableNow=True), spark, partitions)
+        query.awaitTermination()
+        return query.lastProgress["stateOperators"][0]["numShufflePartitions"]
+
+    assert run(100 * few) == few
+    feed.send(_rows([60]))
+    feed.send(_beat(70))
+    assert run(1) == few                # the checkpoint's number
+    rows = spark.read.schema(stateful.CLOSED).parquet(feed.closed).filter("total_queries > 0")
+    assert _sums(stateful.minute_sums(rows)) == _sums(feed.truth())
