@@ -12,6 +12,7 @@ from __future__ import annotations
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
@@ -61,7 +62,8 @@ def _timestamps(minutes) -> pd.Series:
 
 
 class _Minutes(StatefulProcessor):
-    """Open minutes of a key as one state value: places and sums of all of them."""
+    """Open minutes of a key as one state value: places and sums of all of them, as bytes, since
+    Spark may hand over the rows of a micro-batch in several calls and each reads and writes it."""
 
     def __init__(self, lateness_ms: int):
         self.lateness = lateness_ms
@@ -69,6 +71,7 @@ class _Minutes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.open = handle.getValueState("open", "minutes array<bigint>, sums array<bigint>")
+        self.packed = handle.getValueState("packed", "minutes binary, sums binary")
 
     def close(self) -> None:
         pass
@@ -79,19 +82,22 @@ class _Minutes(StatefulProcessor):
         return mark + _HORIZON - self.lateness if mark > 0 else -1
 
     def load(self) -> pd.DataFrame:
-        got = self.open.get() if self.open.exists() else None
-        minutes, sums = (list(got[0]), list(got[1])) if got else ([], [])
         width = len(_COLUMNS)
-        return pd.DataFrame([sums[i:i + width] for i in range(0, len(sums), width)],
-                            index=pd.Index(minutes, dtype="int64"), columns=_COLUMNS,
-                            dtype="int64")
+        if self.packed.exists():
+            minutes, sums = (np.frombuffer(bytes(x), dtype="<i8") for x in self.packed.get())
+        else:  # none, or a state from before it was packed
+            minutes, sums = self.open.get() if self.open.exists() else ([], [])
+        return pd.DataFrame(np.array(sums, dtype="int64").reshape(-1, width),
+                            index=pd.Index(minutes, dtype="int64"), columns=_COLUMNS)
 
     def save(self, table: pd.DataFrame) -> None:
+        if self.open.exists():
+            self.open.clear()
         if len(table):
-            self.open.update(([int(m) for m in table.index],
-                              [int(x) for x in table.to_numpy().ravel()]))
+            self.packed.update((table.index.to_numpy(dtype="<i8").tobytes(),
+                                table.to_numpy(dtype="<i8").tobytes()))
         else:
-            self.open.clear()
+            self.packed.clear()
 
     def wake(self, minute: int) -> None:
         """A timer for the moment at which the minute closes."""

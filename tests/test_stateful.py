@@ -203,3 +203,41 @@ def test_start_keeps_a_smaller_number_and_restarts(feed, spark):
     assert run(1) == few                # the checkpoint's number
     rows = spark.read.schema(stateful.CLOSED).parquet(feed.closed).filter("total_queries > 0")
     assert _sums(stateful.minute_sums(rows)) == _sums(feed.truth())
+
+
+class _Value:
+    held = None
+
+    def exists(self):
+        return self.held is not None
+
+    def get(self):
+        return self.held
+
+    def update(self, value):
+        self.held = value
+
+    def clear(self):
+        self.held = None
+
+
+def test_open_minutes_are_kept_as_bytes_and_older_states_are_read():
+    class Handle:
+        def getValueState(self, *_):
+            return _Value()
+
+    closer = stateful.MinuteCloser(0)
+    closer.init(Handle())
+    assert len(closer.load()) == 0
+    width = len(stateful.COUNTERS_LATENCY)
+    closer.open.update(([60_000, 120_000], list(range(2 * width))))
+    table = closer.load()
+    assert table.index.tolist() == [60_000, 120_000]
+    assert table.loc[120_000].tolist() == list(range(width, 2 * width))
+    closer.save(table)
+    assert not closer.open.exists()
+    minutes, sums = closer.packed.get()
+    assert isinstance(minutes, bytes) and len(sums) == 2 * width * 8
+    assert closer.load().equals(table)
+    closer.save(table[:0])
+    assert not closer.packed.exists() and len(closer.load()) == 0
